@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontaminate, language, minhash
+from tidemark.llm import common, decontaminate, language, minhash, packing, pii
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,23 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return marked.where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
-STAGES = [("language", language_stage), ("near_duplicates", dedup_stage), ("decontamination", decontaminate_stage)]
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
 #: Learnt language models and trees are no SQL; tests hold the pipeline against a plain-Python version.
 ORACLE_SQL = None

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprint, language, minhash, url_filter
+from . import chat_format, decontaminate, fingerprint, html, language, minhash, packing, pii, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_packing": packing.op4_packing,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_language": language.op7_language,
     "op8_minhash": minhash.op8_minhash,
+    "op9_pii": pii.op9_pii,
+    "op10_html": html.op10_html,
 }
 
 SQL = {
