@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,9 @@ def bucket_count(spark: SparkSession) -> int:
 def crc_mod(key, m: int):
     """crc32 of the key as text, modulo m."""
     return F.crc32(key.cast("string")) % m
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished plans: they go when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

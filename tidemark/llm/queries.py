@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprint, html, language, minhash, packing, pii, url_filter
+from . import chat_format, decontaminate, fingerprint, html, katz, language, minhash, packing, pii, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_katz": katz.op3_katz,
     "op4_packing": packing.op4_packing,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_chat_format": chat_format.op6_chat_format,
