@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -96,42 +97,38 @@ def with_retry(call: Callable[[], object], attempts: int = 3, wait: Callable[[fl
     return {}
 
 
-class VendorSource(DataSource):
-    """A paged or tabular vendor interface as a Spark data source, read by one task so that its rate limit holds.
+def vendor_source(client: Callable[[str, dict], Iterable[tuple]], schema: str = "ts_code string, value string", per_minute: float = 200) -> type[DataSource]:
+    """A vendor interface as a Spark data source named "vendor", read by one task so that its rate limit holds.
 
-    Options: endpoint, parameters (JSON), per_minute. The client is given by `VendorSource.client`, a picklable function
-    (endpoint, parameters) -> iterable of tuples in the order of the user's schema.
+    `client` (endpoint, parameters) gives tuples in the schema's order; the options endpoint and parameters (JSON) are handed to it.
+    Register the class with spark.dataSource.register, and write what is read before using it twice.
     """
 
-    client: Callable[[str, dict], Iterable[tuple]] | None = None
+    class VendorSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "vendor"
 
-    @classmethod
-    def name(cls) -> str:
-        return "vendor"
+        def schema(self) -> str:
+            return schema
 
-    def schema(self) -> str:
-        return "ts_code string, value string"
+        def reader(self, schema) -> DataSourceReader:
+            return VendorReader(dict(self.options), client, per_minute)
 
-    def reader(self, schema) -> DataSourceReader:
-        return VendorReader(dict(self.options), type(self).client)
+    return VendorSource
 
 
 class VendorReader(DataSourceReader):
-    def __init__(self, options: dict, client: Callable[[str, dict], Iterable[tuple]] | None):
-        self.options, self.client = options, client
+    def __init__(self, options: dict, client: Callable[[str, dict], Iterable[tuple]], per_minute: float):
+        self.options, self.client, self.pause = options, client, 60.0 / per_minute
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-
-        if self.client is None:
-            raise ValueError("VendorSource.client is not set")
-        pause = 60.0 / float(self.options.get("per_minute", 200))
-        rows = with_retry(lambda: list(self.client(self.options.get("endpoint", ""), json.loads(self.options.get("parameters", "{}")))))
-        time.sleep(min(pause, 1.0))
-        yield from rows
+        time.sleep(self.pause)
+        parameters = json.loads(self.options.get("parameters", "{}"))
+        yield from with_retry(lambda: list(self.client(self.options.get("endpoint", ""), parameters)))
 
 
 def call_out(df: DataFrame, column: str, out: str, answer: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
