@@ -126,8 +126,8 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndar
     long[out_first[short]] = False
     out[long] = run
     for i in short:
-        x = h[first[i]]
-        for y in h[first[i] + 1 : first[i + 1]]:
-            x = mix(np.asarray([x + y * np.uint64(0x51ED29)], np.uint64), 3)[0]
-        out[out_first[i]] = mix(np.asarray([x], np.uint64), 1000 + int(count[i]))[0]
+        x = h[first[i] : first[i] + 1]
+        for k in range(first[i] + 1, first[i + 1]):
+            x = mix(x + h[k : k + 1] * np.uint64(0x51ED29), 3)
+        out[out_first[i]] = mix(x, 1000 + int(count[i]))[0]
     return out, out_first
