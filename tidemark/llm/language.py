@@ -116,7 +116,6 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict:
     each = max(1, sample // len(counts))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n) * (1 << 30))) for k, n in counts.items()], F.lit(0.0))
-    # the size of what reaches the driver is bounded by the limit; the text's own length by dividing very long texts' share
     picked = rows.where(place < share).select("text", "lang", place.alias("p"), "doc_id").orderBy("p", "doc_id").limit(sample).collect()
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 

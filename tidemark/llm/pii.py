@@ -253,7 +253,7 @@ def told(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span of text replaced by its kind in brackets, and n_chars counted anew; the same columns."""
     columns = docs.columns
-    found = find(docs)
+    found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -265,9 +265,9 @@ def redact(docs: DataFrame) -> DataFrame:
     done = F.aggregate("spans", start, step)
     clean = found.withColumn("_d", F.when(F.size("spans") > 0, done))
     clean = clean.withColumn("text", F.when(F.col("_d").isNull(), F.col("text")).otherwise(F.concat(F.col("_d.out"), F.expr("substr(text, _d.at + 1)"))))
-    if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_d").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.select(*columns)
+    counted = F.when(F.col("_d").isNull(), F.col("_row")["n_chars"] if "n_chars" in columns else F.lit(None)).otherwise(F.length("text").cast("long"))
+    new = {"text": F.col("text"), "n_chars": counted}
+    return clean.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
