@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans import taxonomy as T
+from .lineage import cut
+from .ranking import hash_rank
 
 
 def with_major(labelled: DataFrame) -> DataFrame:
@@ -53,9 +55,11 @@ def first_wins(rows: DataFrame, order: str = "place") -> DataFrame:
         by_k = open_rows.groupBy("_k").agg(F.min("_o").alias("_fk"))
         by_t = open_rows.groupBy("text").agg(F.min("_o").alias("_ft"))
         # a row that comes first under both of its keys is kept; all later rows of those keys go
-        sure = open_rows.join(by_k, "_k").join(by_t, "text").where((F.col("_o") == F.col("_fk")) & (F.col("_o") == F.col("_ft"))).select("_o", "_k", "text").checkpoint()
+        sure = open_rows.join(by_k, "_k").join(by_t, "text").where((F.col("_o") == F.col("_fk")) & (F.col("_o") == F.col("_ft"))).select("_o", "_k", "text")
+        sure = cut(sure)
         kept = sure if kept is None else kept.unionByName(sure)
-        left = open_rows.join(sure.select("_k"), "_k", "left_anti").join(sure.select("text"), "text", "left_anti").select("_o", "_k", "text").checkpoint()
+        left = open_rows.join(sure.select("_k"), "_k", "left_anti").join(sure.select("text"), "text", "left_anti").select("_o", "_k", "text")
+        left = cut(left)
         if left.limit(1).count() == 0:
             break
         open_rows = left
@@ -68,9 +72,9 @@ def merge(inputs: list[DataFrame]) -> tuple[DataFrame, dict[str, int]]:
     for i, df in enumerate(inputs):
         df = df.select("announcement_id", "text", "sub_category", "major_category", F.struct(F.lit(i), F.col("place") if "place" in df.columns else F.monotonically_increasing_id()).alias("place"))
         rows = df if rows is None else rows.unionByName(df)
-    rows = rows.checkpoint()
+    rows = cut(rows)
     said = rows.where((F.col("sub_category") != "") & (F.col("text") != ""))
-    merged = first_wins(candidates(rows)).checkpoint()
+    merged = cut(first_wins(candidates(rows)))
     total, labelled, known, kept = rows.count(), said.count(), candidates(rows).count(), merged.count()
     return merged, {"merged": kept, "skipped": total - labelled + known - kept, "invalid": labelled - known}
 
@@ -83,10 +87,9 @@ def label_ids(labelled: DataFrame) -> DataFrame:
 
 def split(labelled: DataFrame, key: str, train: float = 0.70, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """A stratified split: in each class rows are ranked by a seeded hash, and cut at the shares."""
-    w = W.partitionBy("sub_category").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    n = F.count("*").over(W.partitionBy("sub_category"))
-    place = (F.row_number().over(w) - 1) / n
-    return labelled.withColumn("_p", place).withColumn("split", F.when(F.col("_p") < train, "train").when(F.col("_p") < train + validation, "validation").otherwise("test")).drop("_p")
+    place = F.col("_rank") / F.col("_size")
+    part = F.when(place < train, "train").when(place < train + validation, "validation").otherwise("test")
+    return hash_rank(labelled, "sub_category", key, seed).withColumn("split", part).drop("_rank", "_size")
 
 
 def template_difference(templates: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ def distribution(df: DataFrame, key: str, name: str = "n", skip_null: bool = Fal
 
 def status_overview(announcements: DataFrame) -> DataFrame:
     """All statuses in order, with zero for those that no row has."""
-    counts = announcements.groupBy(F.col("processing_status").alias("status")).agg(F.count("*").alias("n"))
+    known = announcements.where(F.col("processing_status").isin(*T.STATUSES))  # so the counts are seven rows at most
+    counts = known.groupBy(F.col("processing_status").alias("status")).agg(F.count("*").alias("n"))
     return T.statuses_df(announcements.sparkSession).join(F.broadcast(counts), "status", "left").select("place", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
