@@ -16,7 +16,6 @@ nothing, other columns pass through (columns with the result's names are replace
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -111,13 +110,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:bigint,words:bigint>>)").alias("hit_spans"), F.expr("cast(array() as array<string>)").alias("hit_items"))
+    scratch = common.Scratch(spark, "decontaminate")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     k = -1
     for k, block in enumerate(_blocks(benchmark, most)):
         tables = spark.sparkContext.broadcast(matchers(block, window))
         out = out.mapInArrow(_searcher(tables), schema)
         if k % 4 == 3:
-            out = out.checkpoint()
+            out = scratch.table(out)
     if k < 0:
         out = out.mapInArrow(_searcher(spark.sparkContext.broadcast([])), schema)  # an empty benchmark: words are still counted
     return out
