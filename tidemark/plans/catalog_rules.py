@@ -387,3 +387,44 @@ def _(t: Tables) -> DataFrame:
     d = stats.dashboard(t.announcements, t.classifications, t.scores, a, a)
     parts = [d[k].select(F.lit(k).alias("chart"), F.col(c).alias("name"), "n") for k, c in (("category", "major_category"), ("industry", "industry_group"))]
     return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("ups05_score_replace", "SELECT announcement_id, CASE WHEN announcement_id % 9 = 0 THEN 0.0::DOUBLE ELSE composite_score END AS composite_score, CASE WHEN announcement_id % 9 <> 0 THEN direction END AS market_reaction FROM scores", "scores")
+def _(t: Tables) -> DataFrame:
+    old = t.scores.select("announcement_id", "composite_score", F.col("direction").alias("market_reaction"))
+    new = old.where("announcement_id % 9 = 0").select("announcement_id", F.lit(0.0).alias("composite_score"))
+    return upsert.replace(old, new, ["announcement_id"])
+
+
+@query("ups08_seed_upsert", "SELECT stock_code, coalesce(industry, '') AS industry, id % 4 = 0 AS is_tracked FROM companies", "companies")
+def _(t: Tables) -> DataFrame:
+    old = t.companies.select("stock_code", "industry", "is_tracked")
+    new = t.companies.select("stock_code", F.coalesce("industry", F.lit("")).alias("industry"), (F.col("id") % 4 == 0).alias("is_tracked"))
+    return upsert.merge_non_null(old, new, ["stock_code"])
+
+
+@query("ext04_constants", "SELECT 0.8::DOUBLE AS confidence, 'model' AS model_used, count(*) FILTER (event_id % 11 <> 0) * 4 + count(*) FILTER (event_id % 11 <> 0 AND event_id % 2 = 1) AS n FROM events")
+def _(t: Tables) -> DataFrame:
+    return extraction.to_fields(_results(t)).groupBy("confidence", "model_used").agg(F.count("*").alias("n"))
+
+
+@query("jn05_scoring_inputs", "SELECT a.id, c.sub_category, co.annual_revenue, (SELECT count(*) FROM last_fields l WHERE l.announcement_id = a.id) AS n FROM announcements a LEFT JOIN classifications c ON c.announcement_id = a.id LEFT JOIN companies co ON co.id = a.company_id", "announcements", "classifications", "companies", "last_fields")
+def _(t: Tables) -> DataFrame:
+    c = t.classifications.select(F.col("announcement_id").alias("id"), "sub_category")
+    co = t.companies.select(F.col("id").alias("company_id"), "annual_revenue")
+    f = t.field_map.select(F.col("announcement_id").alias("id"), F.size("fields").alias("n"))
+    df = t.announcements.select("id", "company_id").join(c, "id", "left").join(co, "company_id", "left").join(f, "id", "left")
+    return df.select("id", "sub_category", "annual_revenue", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("ord03_report_order", f"SELECT announcement_id, place FROM (SELECT announcement_id, row_number() OVER (ORDER BY abs(composite_score) DESC, announcement_id)::INT AS place FROM {_ITEMS} WHERE abs(composite_score) >= 0.5::DOUBLE) WHERE place <= 10", *_ITEM_VIEWS)
+def _(t: Tables) -> DataFrame:
+    return report.ranked(_items(t).where(F.abs("composite_score") >= T.HIGH_IMPACT), T.TOP_N).select("announcement_id", "place")
+
+
+@query("rpt05_detail_page", "SELECT a.id, a.title, co.stock_name, c.sub_category, s.composite_score FROM announcements a LEFT JOIN companies co ON co.id = a.company_id LEFT JOIN classifications c ON c.announcement_id = a.id LEFT JOIN scores s ON s.announcement_id = a.id WHERE a.id = 42", "announcements", "companies", "classifications", "scores")
+def _(t: Tables) -> DataFrame:
+    from ..operators import search
+
+    one = t.announcements.where("id = 42")
+    return search.details(one, t.companies, t.classifications.where("announcement_id = 42"), t.scores.where("announcement_id = 42")).select("id", "title", "stock_name", "sub_category", "composite_score")

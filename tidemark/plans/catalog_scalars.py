@@ -346,3 +346,36 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     n = t.raw("labels")
     return n.select(F.col("quality").alias("label")).union(n.select("toxic")).distinct()
+
+
+def _statements(t: Tables) -> DataFrame:
+    return t.raw("orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ts_code"), F.to_date("o_orderdate").alias("end_date"), F.col("o_orderstatus").alias("report_type"), F.col("o_totalprice").alias("revenue"))
+
+
+_STATEMENTS = "(SELECT 'C' || o_custkey AS ts_code, o_orderdate::DATE AS end_date, o_orderstatus AS report_type, o_totalprice AS revenue FROM orders)"
+
+
+@query("src02_disclosure_calendar", f"SELECT ts_code, end_date FROM {_STATEMENTS} WHERE end_date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'")
+def _(t: Tables) -> DataFrame:
+    return readers.vendor_rows(_statements(t), ts_code="", start_date=dt.date(1996, 1, 1), end_date=dt.date(1996, 3, 31)).select("ts_code", "end_date")
+
+
+@query("src03_income", f"SELECT * FROM {_STATEMENTS} WHERE ts_code = 'C7' AND report_type = 'O'")
+def _(t: Tables) -> DataFrame:
+    return readers.vendor_rows(_statements(t), ts_code="C7", report_type="O", start_date=None)
+
+
+@query("src04_balance_sheet", f"SELECT * FROM {_STATEMENTS} WHERE end_date >= DATE '2000-01-01'")
+def _(t: Tables) -> DataFrame:
+    return readers.vendor_rows(_statements(t), start_date=dt.date(2000, 1, 1))
+
+
+@query("src06_former_names", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+def _(t: Tables) -> DataFrame:
+    return readers.vendor_rows(t.raw("supplier").select("s_suppkey", "s_name", "s_nationkey"), s_nationkey=3).select("s_suppkey", "s_name")
+
+
+@query("sc23_signed_scores", "SELECT announcement_id, CASE WHEN direction < 0 THEN '-' ELSE '+' END AS sign, abs(direction) >= 1 AS whole FROM scores", "scores")
+def _(t: Tables) -> DataFrame:
+    said = F.format_string("%+.3f", "direction")
+    return t.scores.select("announcement_id", F.substring(said, 1, 1).alias("sign"), (F.abs("direction") >= 1).alias("whole"))

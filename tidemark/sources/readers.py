@@ -141,3 +141,17 @@ def call_out(df: DataFrame, column: str, out: str, answer: Callable[[list[str]],
             yield pd.Series([a for i in range(0, len(texts), batch) for a in answer(texts[i : i + batch])], dtype=object)
 
     return df.withColumn(out, ask(column))
+
+
+def vendor_rows(table: DataFrame, **equal: object) -> DataFrame:
+    """A landed vendor table with optional filters; empty and missing values filter nothing. start_date and end_date bound `end_date`."""
+    for name, value in equal.items():
+        if value in (None, ""):
+            continue
+        if name == "start_date":
+            table = table.where(F.col("end_date") >= F.lit(value))
+        elif name == "end_date":
+            table = table.where(F.col("end_date") <= F.lit(value))
+        else:
+            table = table.where(F.col(name) == F.lit(value))
+    return table
