@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-CHUNK = 2_000_000
+CHUNK = 800_000
 TOP = 5  # counts beyond are not discounted
 END, BEGIN = np.uint64(0xE4D), np.uint64(0xB05)  # reserved keys: the end token, and the history of a first word
 STATE = "chunk long, n_docs long, n_tokens long, docs binary, lengths binary, train binary, words binary, tokens binary"
@@ -77,6 +77,7 @@ def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= CHUNK:
             yield emit()
             held, size, made = [], 0, made + 1
+            kernels.trim()
     if held:
         yield emit()
 
@@ -146,6 +147,9 @@ def ask_counts(buckets: int):
                     rows = [(kind, b, c.id, keys[i:j].tobytes(), _zip(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
                     for k in range(0, len(rows), 64):
                         yield _batch(rows[k : k + 64], _ASKED)
+                    del rows, keys, counts
+                del c, row
+                kernels.trim()
 
     return run
 
@@ -172,6 +176,7 @@ def sum_counts(table: pa.Table) -> pa.Table:
         rows.append((kind, bucket, chunk, bytes([packed.dtype.itemsize]) + _zip(packed), None))
         at += len(k)
     rows.append((kind, bucket, -1, None, stats))
+    kernels.trim()
     return pa.Table.from_batches([_batch(rows, _ANSWER)])
 
 
@@ -276,6 +281,7 @@ def sum_histories(table: pa.Table) -> pa.Table:
         z = _zip(bow[which].astype(np.float32))
         rows.append((2, bucket, chunk, len(z).to_bytes(8, "little") + z + _zip(extra[which]), None))
         i += len(k)
+    kernels.trim()
     return pa.Table.from_batches([_batch(rows, _ANSWER)])
 
 

@@ -7,6 +7,7 @@ longer text is a piece of its own, and is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,20 @@ _RATIO = np.uint64(0x9E3779B97F4A7C15 & ~7 | 5)  # odd, 5 modulo 8: powers stay
 _INVERSE = np.uint64(pow(int(_RATIO), -1, 1 << 64))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):
+    _LIBC = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _lower() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
