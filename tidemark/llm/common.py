@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 
@@ -42,9 +43,19 @@ class Scratch:
         out._scratch = path
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables of this scratch but the given ones, which alone a result still reads."""
+        kept = {t._scratch for t in tables}
+        for i in range(self.n):
+            if f"{self.root}/{i}" not in kept:
+                self._delete(f"{self.root}/{i}")
+
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._scratch)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +72,8 @@ def crc_mod(key, m: int):
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished plans: they go when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished plans: they go when the driver's garbage is collected, which takes more than one turn."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

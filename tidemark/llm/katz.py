@@ -50,6 +50,15 @@ def _unzip(b: bytes, kind: np.dtype | type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def _zip_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, whose high bytes are mostly zero."""
+    return _zip(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unzip_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(b, np.uint64), dtype=np.uint64)
+
+
 def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, train) rows to STATE rows."""
     held: list[tuple] = []
@@ -144,7 +153,7 @@ def ask_counts(buckets: int):
                 c = Chunk(row)
                 for kind, keys, counts in ((0, c.words, c.word_counts()), (1, c.keys, c.pair_counts())):
                     cut = _cuts(keys, buckets)
-                    rows = [(kind, b, c.id, keys[i:j].tobytes(), _zip(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+                    rows = [(kind, b, c.id, _zip_keys(keys[i:j]), _zip(counts[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
                     for k in range(0, len(rows), 64):
                         yield _batch(rows[k : k + 64], _ASKED)
                     del rows, keys, counts
@@ -159,7 +168,7 @@ def sum_counts(table: pa.Table) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     order = np.argsort(np.asarray(table.column("chunk")), kind="stable")
     table = table.take(pa.array(order))
-    keys = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("keys")]
+    keys = [_unzip_keys(b.as_py()) for b in table.column("keys")]
     counts = np.concatenate([_unzip(b.as_py(), np.uint32) for b in table.column("values")]).astype(np.int64)
     unique, owner, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.zeros(len(unique), np.int64)
@@ -238,7 +247,7 @@ def ask_sums(buckets: int, model: Model):
                 low = np.bincount(c.h[own], model.unigram(count[c.w[own]]), len(c.words))
                 cut = _cuts(c.words, buckets)
                 rows = [
-                    (2, b, c.id, c.words[i:j].tobytes(), b"".join(len(z).to_bytes(8, "little") + z for z in (_zip(count[i:j]), _zip(star[i:j]), _zip(low[i:j]))))
+                    (2, b, c.id, _zip_keys(c.words[i:j]), b"".join(len(z).to_bytes(8, "little") + z for z in (_zip(count[i:j]), _zip(star[i:j]), _zip(low[i:j]))))
                     for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j
                 ]
                 for k in range(0, len(rows), 64):
@@ -268,7 +277,7 @@ def sum_histories(table: pa.Table) -> pa.Table:
     """All ASKED rows of kind 2 of one bucket to the answers: log10 bow and denominator of every history asked for."""
     bucket = table.column("bucket")[0].as_py()
     table = table.take(pa.array(np.argsort(np.asarray(table.column("chunk")), kind="stable")))
-    keys = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("keys")]
+    keys = [_unzip_keys(b.as_py()) for b in table.column("keys")]
     parts = [_three(b.as_py()) for b in table.column("values")]
     unique, at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     count = np.concatenate([p[0] for p in parts])[at]
