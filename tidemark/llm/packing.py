@@ -78,9 +78,11 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     if not edges:
         return docs.withColumns({"bucket": F.lit(0), "padded_to": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")})
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
-    bucket = F.size(F.filter(bounds, lambda e: e < F.col("n_tokens")))
     shards = common.bucket_count(spark)
-    docs = docs.withColumns({"bucket": bucket, "_shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards))})
+    # inside transform the count is a variable: it is made once, not for each comparison
+    both = F.transform(F.array(token_count(F.col("text"))), lambda n: F.struct(n.alias("n"), F.size(F.filter(bounds, lambda e: e < n)).alias("b")))
+    docs = docs.withColumn("_nb", F.get(both, F.lit(0)))
+    docs = docs.withColumns({"n_tokens": F.col("_nb.n"), "bucket": F.col("_nb.b"), "_shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards))}).drop("_nb")
     sizes = docs.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
     before = W.partitionBy("bucket").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
