@@ -341,6 +341,14 @@ def test_chains_of_links(spark):
     assert [c for _, c in got] == want == [0] * 14
 
 
+def test_pairs_of_a_crowded_key_are_all_found(spark):
+    # a shared template just below the threshold (172 of 200 words: 0.754); the last twenty are pairs just above it (180 of 200: 0.818)
+    pair = [i // 2 * 2 if i >= 280 else i for i in range(300)]
+    texts = [" ".join([f"t{k}" for k in range(172)] + [f"p{pair[i]}x{k}" for k in range(8)] + [f"u{i}x{k}" for k in range(20)]) for i in range(300)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs_of(spark, texts), 1, 80).collect()}
+    assert got == dict(enumerate(pair))
+
+
 def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((x["doc_id"] or 0) for x in minhash.keep_one(df, size=3, percent=85).collect()) == [0, 5]

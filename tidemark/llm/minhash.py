@@ -6,10 +6,13 @@ tables from 2 * groups * rows hashes, about the square root of what independent
 
 Documents of equal sets are first reduced to their least doc_id. In the first round every document is compared, on its full set, with the
 least document of each of its keys; in later rounds, at keys whose documents are still in different components, with a few pivots
-drawn by hash. So links grow with documents, never with pairs in a group. Verified links are merged into components by
-distributed min-label propagation. Keys whose documents are all in one component drop out, as a further link there would change
-nothing. Rounds end when fresh pivots bring no new link. The full sets are made anew from the texts of the documents
-that share a key (a filter of bounded size picks them at the scan), so no other set is stored or moved.
+drawn by hash. Verified links are merged into components by distributed min-label propagation. Keys whose documents are all in one
+component drop out, as a further link there would change nothing. Pivot rounds only save work: they end when few
+of their pairs are links.
+Then all documents of keys that still hold several components are settled exactly (`unsettled`): each set is ordered by one global order, rare
+shingles first, and two sets that reach the threshold share a shingle within their first n - ceil(percent * n / 100) + 1; all pairs of other
+components that do, and whose sizes and places allow the threshold, are compared. So no pair that shares a key is left out. The full sets are
+made anew from the texts of the documents that share a key (a filter of bounded size picks them at the scan), so no other set is stored or moved.
 
 A link needs 100 * intersection >= percent * union, confirmed on the 64-bit hashes of all shingles. Null texts, and texts without words, are
 empty sets, linked with nothing: they are their own components, equal or not. Repeated rows of one doc_id are one document
@@ -68,6 +71,8 @@ KEY_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, keys array<l
 SET_SCHEMA = "doc_id long, shingles binary"
 #: Bits of the filter that says which documents' full sets are fetched; a fixed bound, so more documents only make it less sharp.
 FILTER_BITS = 1 << 24
+#: Bits of a shingle's slot in the counts that order shingles; and the documents of a shingle that meet in one block of its pairs.
+SLOT_BITS, BLOCK = 20, 1000
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -157,6 +162,12 @@ def confirm(percent: int):
     return run
 
 
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    one = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    two = one.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return two.mapInArrow(confirm(percent), "a long, b long")
+
+
 def components(scratch: common.Scratch, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, comp): the least id reachable over undirected edges (a, b); nothing but counts reaches the driver.
 
@@ -184,6 +195,73 @@ def components(scratch: common.Scratch, edges: DataFrame, known: DataFrame | Non
             return labels
 
 
+def _held(batch: pa.RecordBatch, bits: int, held: np.ndarray) -> pa.RecordBatch:
+    at = _places(np.asarray(batch.column(0), np.int64), bits)
+    return batch.filter(pa.array(np.all(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1, axis=0)))
+
+
+def slot_counts(full: DataFrame, sent) -> np.ndarray:
+    """About how many of the filter's sets hold a shingle, by slot. Counts of one in a task are left out: this only orders shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            h = np.frombuffer(b"".join(_held(batch, *sent.value).column(1).to_pylist()), "<u8")
+            n += np.bincount((kernels.mix(h, 60) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
+        used = np.flatnonzero(n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["slot", "n"])
+
+    rows = full.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out
+
+
+def prefixes(full: DataFrame, sent, counts, percent: int) -> DataFrame:
+    """(id, n, shingles) of the filter's sets: the first shingles in the global order, of which linked sets share one at least."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = counts.value
+        for batch in batches:
+            part = _held(batch, *sent.value)
+            sizes, lists = [], []
+            for v in part.column(1):
+                h = kernels.mix(np.frombuffer(v.as_buffer(), "<u8"), 60)
+                first = np.lexsort((h, order[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+                sizes.append(len(h))
+                lists.append(h[first[: max(0, len(h) + percent * len(h) // -100 + 1)]].view(np.int64))
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            ends = np.cumsum([0, *map(len, lists)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "n", "shingles"])
+
+    return full.mapInArrow(run, "id long, n long, shingles array<long>")
+
+
+def unsettled(scratch: common.Scratch, full: DataFrame, now: DataFrame, percent: int) -> DataFrame | None:
+    """All pairs (a, b) that can still be linked among the documents of now(key, id, comp) whose keys hold several components; None without any.
+
+    A pair's first shared shingle bounds what they share by what follows it in both. A shingle of many documents is worked off in blocks.
+    """
+    apart = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    left = scratch.table(now.join(apart, "key", "left_semi").select("id", "comp").distinct())
+    if not left.limit(1).count():
+        return None
+    context = full.sparkSession.sparkContext
+    sent = context.broadcast(id_filter(left.select("id")))
+    counts = context.broadcast(slot_counts(full, sent))
+    rows = prefixes(full, sent, counts, percent).join(left, "id").select("id", "comp", "n", F.posexplode("shingles").alias("at", "shingle"))
+    rows = scratch.table(rows, compression="zstd")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+    shared = scratch.table(rows.join(shared.select("shingle", blocks.alias("blocks")), "shingle").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    scratch.drop(rows)
+    value = lambda s: F.struct("id", "comp", "n", (F.col("n") - F.col("at")).alias("rest")).alias(s)
+    one = shared.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), value("x"))
+    two = shared.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), value("y"))
+    fits = F.expr(f"x.comp <> y.comp AND (i < j OR x.id < y.id) AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
+    return one.join(two, ["shingle", "i", "j"]).where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, pivots: int = 3, most: int = 50, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of (doc_id, text)."""
     spark = docs.sparkSession
@@ -218,9 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs)
-        one = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        two = one.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-        fresh = scratch.table(two.mapInArrow(confirm(percent), "a long, b long"))
+        fresh = scratch.table(confirmed(pairs, full, percent))
         tried = pairs if tried is None else tried.union(pairs)
         if not fresh.limit(1).count():
             if turn > 1:
@@ -229,6 +305,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
         links = fresh if links is None else links.union(fresh)
         labels = components(scratch, links, labels)
         common.free(spark)
+        if turn > 1 and 8 * fresh.count() < pairs.count():
+            break
+    common.free(spark)
+    now = members.select("key", "id", F.col("id").alias("comp")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    pairs = unsettled(scratch, full, now, percent)
+    if pairs is not None:
+        pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        fresh = scratch.table(confirmed(pairs, full, percent))
+        if fresh.limit(1).count():
+            labels = components(scratch, fresh if links is None else links.union(fresh), labels)
+        common.free(spark)
     if labels is None:
         labels = spark.range(0).select("id", F.col("id").alias("comp"))
     scratch.keep(sets, reps, *([labels] if hasattr(labels, "_scratch") else []))
