@@ -72,7 +72,7 @@ SET_SCHEMA = "doc_id long, shingles binary"
 #: Bits of the filter that says which documents' full sets are fetched; a fixed bound, so more documents only make it less sharp.
 FILTER_BITS = 1 << 24
 #: Bits of a shingle's slot in the counts that order shingles; and the documents of a shingle that meet in one block of its pairs.
-SLOT_BITS, BLOCK = 20, 1000
+SLOT_BITS, BLOCK = 16, 1000
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
