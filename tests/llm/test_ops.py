@@ -427,6 +427,16 @@ def test_repeated_runs_go_where_structure_is_silent(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_host_is_searched_as_a_whole(spark, monkeypatch):
+    # each notice is on two pages of one host of forty, which is dealt over ten shares; alone, its second page would keep it
+    notice = lambda k: " ".join(f"n{k}x{i}" for i in range(10))
+    rows = [(i, "http://h.com/%d" % i, f"<p>own {i} words{i}</p><div>{notice(i % 20)}</div>") for i in range(40)]
+    want = {i: (f"own {i} words{i}", len(f"own {i} words{i}")) for i in range(40)}
+    assert _extracted(spark, rows) == want
+    monkeypatch.setattr(html, "TOKENS", 30)
+    assert _extracted(spark, rows) == want
+
+
 def test_covered_against_brute_force():
     r = random.Random(14)
     streams = [[" ".join(r.choice("abcd") for _ in range(r.randint(1, 12))) for _ in range(3)] for _ in range(8)]
