@@ -280,6 +280,16 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language.identify(df.where("doc_id < 300"), single).collect()} == {"a"}
 
 
+def test_all_languages_are_learnt(spark):
+    # 300 languages, the last with one row; and one row of a language beside very many of another
+    texts = [f"q{k}z q{k}z{i}" for k in range(299) for i in (0, 1)] + ["ooo"]
+    rows = [(i, t, f"l{i // 2:03d}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(df, F.lit(True))["languages"] == sorted({x[2] for x in rows})
+    two = spark.createDataFrame([(i, "x", "rare" if i < 3 else "common") for i in range(400)], "doc_id long, text string, lang string")
+    assert language.train(two, F.lit(True), 6)["languages"] == ["common", "rare"]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 12):
         c = language.codewords(n)

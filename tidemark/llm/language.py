@@ -5,8 +5,8 @@ Each language gets a codeword; one logistic classifier a bit predicts its sign f
 margin against each codeword, weighted by the bit's accuracy on held-back training rows, and takes the language of the least loss; the score is that language's
 share after a softmax of the negative losses. A row is flagged ambiguous if the runner-up's loss is closer than `AMBIGUOUS`.
 
-The training sample is bounded: at most `SAMPLE` labelled rows in all, spread evenly over the languages by a hash of
-doc_id; whole texts. Scoring covers every row and every byte, map-side only.
+All lang values are learnt. The training sample is bounded: each language has its equal part of `SAMPLE` labelled rows, one at least, and
+gets that many rows, or all it has, by least hash of doc_id; whole texts. Scoring covers every row and every byte, map-side only.
 
 Null texts, and texts without a letter, are "und" with score 0. With no labelled rows everything is "und"; with one
 language every text with letters gets it, with score 1. Languages of equal loss: the first in order. Repeated rows are
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +81,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 250) -> dict:
     which = np.asarray([languages.index(v) for v in labels])
     y = code[which]
     held = np.arange(len(x)) % 5 == 0
+    held[np.unique(which, return_index=True)[1]] = False  # each language trains on a row at least
     tx, ty = x[~held], y[~held]
     balance = (1.0 / np.bincount(which, minlength=len(languages)))[which][~held, None].astype(np.float32)
     balance /= balance.mean()
@@ -108,15 +110,23 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict:
-    """Fits on at most `sample` rows with a label, chosen by hash and evenly over the languages."""
+    """Fits on `sample` labelled rows, the same number of each language (one at least, and no more than it has), those of least hash."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
-    each = max(1, sample // len(counts))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n) * (1 << 30))) for k, n in counts.items()], F.lit(0.0))
-    picked = rows.where(place < share).select("text", "lang", place.alias("p"), "doc_id").orderBy("p", "doc_id").limit(sample).collect()
+    each, top = max(1, sample // len(counts)), 1 << 30
+    rows = rows.select("text", "lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(top)).alias("p"))
+
+    def below(cuts: dict[str, int]) -> DataFrame:
+        return rows.join(docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut long"), "lang").where("p < cut")
+
+    # few more rows than needed come by hash; a language that falls short all the same (its rows repeat) gives all its rows
+    cuts = {k: min(top, top * (2 * each + 64) // n) for k, n in counts.items()}
+    found = {r["lang"]: r["n"] for r in below(cuts).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    cuts = {k: c if found.get(k, 0) >= min(each, counts[k]) else top for k, c in cuts.items()}
+    place = F.row_number().over(W.partitionBy("lang").orderBy("p", "doc_id", "text"))
+    picked = below(cuts).withColumn("place", place).where(F.col("place") <= each).select("text", "lang", "p", "doc_id").orderBy("p", "doc_id", "lang", "text").collect()
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
