@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html as entities
+import itertools
 import math
 import random
 import re
@@ -157,6 +158,14 @@ def test_katz_edges(spark):
 # packing
 
 
+def test_padding_is_least_over_all_counts(spark):
+    sizes = [1026] * 5 + [1030, 1031] + [1040] * 2 + [3000, 3001, 3002]
+    got = packing.pack(docs_of(spark, ["x " * n for n in sizes]), 4, 8192).collect()
+    counts = sorted(set(sizes))
+    least = min(sum(min(e for e in (*c, 3002) if e >= n) - n for n in sizes) for c in itertools.combinations(counts[:-1], 3))
+    assert sum(x["padded_to"] - x["n_tokens"] for x in got) == least
+
+
 def test_boundaries_are_optimal():
     r = random.Random(5)
     for buckets in (1, 2, 3):

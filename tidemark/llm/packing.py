@@ -1,8 +1,8 @@
 """Packing by optimal length buckets.
 
-Token counts (words, [^\\x20\\x09-\\x0D]+) form one global histogram, of a bounded number of bins: exact up to `EXACT` tokens, then
-`STEPS` bins an octave, each with its rows, tokens and largest count. Dynamic programming over the bins chooses the `buckets`
-boundaries that minimise the total padding when each row is padded to its bucket's boundary. Inside each bucket, rows form batches whose
+Token counts (words, [^\\x20\\x09-\\x0D]+) form one global histogram of all distinct counts (at most the square root of twice all
+tokens), each with its rows and tokens. Dynamic programming over them, by divide and conquer as best splits grow with the count, chooses the
+`buckets` boundaries that minimise the total padding when each row is padded to its bucket's boundary. Inside each bucket, rows form batches whose
 padded size is at most `budget` tokens; a row longer than the budget is a batch of its own, never cut.
 
 Batches are numbered by a distributed ranking: rows of a bucket are spread over hash shards and numbered in each, and
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EXACT, STEPS = 512, 64
 BUCKETS, BUDGET = 16, 8192
 ADDED = ("n_tokens", "bucket", "padded_to", "batch", "slot")
 
@@ -30,16 +29,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _bin(n: Column) -> Column:
-    octave = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")))
-    width = F.greatest(F.pow(F.lit(2.0), octave) / STEPS, F.lit(1.0))
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / width) * width).cast("long"))
-
-
 def histogram(counts: DataFrame) -> list[tuple[int, int, int]]:
-    """(largest, rows, tokens) of each bin, ascending; at most EXACT + 64 * STEPS rows reach the driver."""
-    rows = counts.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
-    return sorted((r["top"], r["n"], r["t"]) for r in rows.collect())
+    """(count, rows, tokens) of each distinct token count, ascending."""
+    rows = counts.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    return sorted((r["n_tokens"], r["n"], r["n_tokens"] * r["n"]) for r in rows.collect())
 
 
 def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
@@ -53,11 +46,18 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     best, choice = top * rows[1:] - tokens[1:], []
     for _ in range(1, min(buckets, m)):
         new, came = best.copy(), np.full(m, -1)
-        for j in range(1, m):
-            cost = best[:j] + top[j] * (rows[j + 1] - rows[1 : j + 1]) - (tokens[j + 1] - tokens[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], came[j] = cost[i], i
+        todo = [(1, m - 1, 0, m - 2)]  # bins, and the range of their best splits, which grow with the bin
+        while todo:
+            lo, hi, a, z = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            z_j = min(z, j - 1)
+            cost = best[a : z_j + 1] + top[j] * (rows[j + 1] - rows[a + 1 : z_j + 2]) - (tokens[j + 1] - tokens[a + 1 : z_j + 2])
+            i = a + int(cost.argmin())
+            if cost[i - a] < new[j]:
+                new[j], came[j] = cost[i - a], i
+            todo += [(lo, j - 1, a, i), (j + 1, hi, i, z)]
         choice.append(came)
         best = new
     out, j, k = [], m - 1, len(choice) - 1
