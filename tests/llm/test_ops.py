@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -503,3 +504,33 @@ def test_kernels_against_plain_python():
 
 def test_all_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_tokenizer_states():
+    said = lambda page: [t for z, t in html.blocks(page) if z != "furniture"]
+    assert said("<p class=it's>Hello</p><p>don't stop</p>") == ["Hello", "don't stop"]
+    assert said("<script src=x/>code()</script>t<object>fallback</object>") == ["tfallback"]
+    assert said("a < b <1 </ c> <//x> e <svg/>f <p title=\"x>y\">z<a href=u/v>w</a>") == ["a < b <1 e f", "zw"]
+    assert said('<article><p class="share-price">a</p><div class="related-work">b</div><div class="share-buttons">c</div><p class="notice">d') == ["a", "b"]
+    assert said('<div class="share-price">a</div>b<select><option>c</select>') == ["b"]
+
+
+@pytest.mark.parametrize("page", ["<svg " * 80000, "<p>" + "</b>" * 60000, "<b><p>" + "<i>" * 5000 + "</b>" * 50000, "<script>" * 50000, "<" * 300000, "<a b='" * 50000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_long_runs_of_one_text_take_linear_time(spark):
+    m = 1_000_000
+    texts = ["x" * m + " a@b.co", "@" + "1" * m + " 1.2.3.4", "1." * (m // 2), "+1" * (m // 2), "abcd:" * (m // 5)]
+    began = time.perf_counter()
+    got = {x["doc_id"]: x["n"] for x in pii.find(docs_of(spark, texts)).select("doc_id", F.size("base_spans").alias("n")).collect()}
+    assert time.perf_counter() - began < 60 and got == {0: 1, 1: 1, 2: m // 8, 3: 0, 4: 0}
+
+
+def test_many_spans_are_redacted(spark):
+    text = "".join(f"x a{i}@b.co é " for i in range(1000)) + "end"
+    df = docs_of(spark, [text]).withColumn("n_chars", F.lit(0).cast("long"))
+    assert pii.redact(df).first()["text"] == "x [EMAIL] é " * 1000 + "end"

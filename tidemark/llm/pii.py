@@ -27,20 +27,23 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
-#: Base patterns, with possessive loops where nothing follows; a card of fewer than 12 digits never passes, so it never matches.
+PART = 128
+#: Base patterns. A run of name characters or digits decides as a whole what may follow, so a search begins only where a run does, or where the
+#: last match ended (\\G), and never gives characters back: linear in the text. A card of fewer than 12 digits never passes, so it never matches.
 BASE = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", "contains(_t, '@')"),
-    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"rlike(_t, '[0-9]\\.[0-9]')"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(_t, '@')"),
+    "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"rlike(_t, '[0-9]\\.[0-9]')"),
     "card": (r"[0-9](?:[ -]?[0-9]){11,}+", r"rlike(_t, '[0-9][ -]?[0-9]')"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "contains(_t, '+')"),
 }
 WIDE = {
-    "email": (r"(?i)[a-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[a-z0-9-]{1,63}){1,6}", r"rlike(_t, '(?i)[\\[(] ?at ?[\\])]')"),
+    "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[a-z0-9-]{1,63}){1,6}", r"rlike(_t, '(?i)[\\[(] ?at ?[\\])]')"),
     "ip": (r"[0-9]{1,3}(?:[\[(](?:\.|dot)[\])][0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", r"rlike(_t, '[0-9][\\[(][.d]|:[0-9A-Fa-f]{1,4}:')"),
     "card": (r"[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}", r"rlike(_t, '[0-9]{4}[ ./_-]{1,2}[0-9]{4}')"),
     "phone": (r"\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}", r"rlike(_t, '[0-9]{3}[ .-][0-9]{4}')"),
 }
-SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
+SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,before:string,after:string>>"
+CONTEXT = 24  # characters before a candidate; no more than since the start of the match before it
 FEATURES = ("digits", "luhn", "length", "marks", "first", "brackets", "left_open", "right_open", "hint", "denial", "kind", "repeats")
 
 
@@ -69,24 +72,39 @@ VALID = {
 }
 
 
+def _parts(values: Column) -> Column:
+    """An array cut into arrays of PART, so that work which grows with the square of an array's size stays small."""
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda i: F.slice(v, i * PART + 1, F.lit(PART)))
+    return F.get(F.transform(F.array(values), cut), F.lit(0))  # the array is made once, as a variable
+
+
 def _find(df: DataFrame, patterns: dict[str, tuple[str, str]], out: str) -> DataFrame:
     """Adds an array column of all matches, by kind, with their positions: what lies between them gives the starts."""
     names = {k: f"{out}_{k}" for k in patterns}
     df = df.withColumns(
         {f"{n}_m": F.when(F.expr(gate), F.regexp_extract_all("_t", F.lit(p), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")) for (p, gate), n in zip(patterns.values(), names.values(), strict=True)}
     )
-    df = df.withColumns({f"{n}_g": F.when(F.size(f"{n}_m") > 0, F.transform(F.split("_t", patterns[k][0], -1), F.length)) for k, n in names.items()})
+    df = df.withColumns({f"{n}_g": F.when(F.size(f"{n}_m") > 0, F.split("_t", patterns[k][0], -1)) for k, n in names.items()})
 
     def spans(k: str, n: str) -> Column:
-        pairs = F.zip_with(f"{n}_m", F.slice(F.col(f"{n}_g"), F.lit(1), F.size(f"{n}_m")), lambda v, g: F.struct(v.alias("v"), g.cast("long").alias("g")))
+        gap, match = lambda i: F.get(f"{n}_g", i), lambda i: F.coalesce(F.get(f"{n}_m", i), F.lit(""))
+        before = lambda i: F.substring(F.concat(match(i - 1), gap(i)), -CONTEXT, CONTEXT)
+        after = lambda i: F.substring(F.concat(gap(i + 1), match(i + 1)), 1, 1)
+        pairs = F.transform(f"{n}_m", lambda v, i: F.struct(v.alias("v"), F.length(gap(i)).cast("long").alias("g"), before(i).alias("b"), after(i).alias("a")))
+        parts = F.transform(_parts(pairs), lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0).cast("long"), lambda s, x: s + x["g"] + F.length(x["v"])).alias("size")))
+        none = F.expr(f"cast(array() as {SPAN})")
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["g"]
             end = start + F.length(x["v"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(KINDS.index(k)).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(KINDS.index(k)).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), x["b"].alias("before"), x["a"].alias("after")))).alias("out"))
 
-        none = F.expr(f"cast(array() as {SPAN})")
-        return F.when(F.size(f"{n}_m") > 0, F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)["out"]).otherwise(none)
+        def placed(all_parts: Column) -> Column:
+            begin = lambda i: F.aggregate(F.slice(all_parts, F.lit(1), i), F.lit(0).cast("long"), lambda s, q: s + q["size"])
+            return F.flatten(F.transform(all_parts, lambda q, i: F.aggregate(q["p"], F.struct(begin(i).alias("at"), none.alias("out")), step)["out"]))
+
+        # the parts are made once, as a variable
+        return F.when(F.size(f"{n}_m") > 0, F.get(F.transform(F.array(parts), placed), F.lit(0))).otherwise(none)
 
     df = df.withColumns({n: spans(k, n) for k, n in names.items()})
     df = df.withColumn(out, F.concat(*names.values()))
@@ -107,8 +125,7 @@ def _order(spans: Column) -> Column:
 
 def features(s: Column) -> list[Column]:
     """Format and context of a candidate span, as doubles, in the order of FEATURES."""
-    before = F.lower(F.substring(F.col("_t"), F.greatest(s["start"] - 23, F.lit(1)).cast("int"), F.least(s["start"], F.lit(24)).cast("int")))
-    after = F.substring(F.col("_t"), (s["end"] + 1).cast("int"), F.lit(1))
+    before, after = F.lower(s["before"]), s["after"]
     d, v = _digits(s["value"]), s["value"]
     said = (
         F.length(d), _luhn(v), F.length(v), F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")),
@@ -255,16 +272,28 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.get(names, s["kind"])).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    done = F.aggregate("spans", start, step)
-    clean = found.withColumn("_d", F.when(F.size("spans") > 0, done))
-    clean = clean.withColumn("text", F.when(F.col("_d").isNull(), F.col("text")).otherwise(F.concat(F.col("_d.out"), F.expr("substr(text, _d.at + 1)"))))
+    zero = F.lit(0).cast("long")
+
+    def part(p: Column, i: Column, parts: Column) -> Column:
+        """The text from the end of what earlier parts cover to the end of what this part covers."""
+        end = lambda spans: F.aggregate(spans, zero, lambda m, s: F.greatest(m, s["end"]))
+        begin = F.aggregate(F.slice(parts, F.lit(1), i), zero, lambda m, q: F.greatest(m, end(q)))
+        said = lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.greatest(end(p) - at, zero).cast("int"))
+
+        def step(acc: Column, s: Column, x: Column) -> Column:
+            gap = F.substring(x["said"], (acc["at"] - x["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], zero).cast("int"))
+            mark = F.when(s["start"] >= acc["at"], F.get(names, s["kind"])).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
+
+        one = F.transform(F.array(begin), lambda at: F.struct(at.alias("at"), said(at).alias("said")))
+        done = F.transform(one, lambda x: F.aggregate(p, F.struct(x["at"].alias("at"), F.lit("").alias("out")), lambda acc, s: step(acc, s, x)))
+        return F.get(done, F.lit(0))
+
+    parts = F.get(F.transform(F.array(_parts(F.col("spans"))), lambda all_parts: F.transform(all_parts, lambda p, i: part(p, i, all_parts))), F.lit(0))
+    clean = found.withColumn("_d", F.when(F.size("spans") > 0, parts))
+    last = F.element_at("_d", -1)["at"]
+    said = F.concat(F.array_join(F.transform("_d", lambda x: x["out"]), ""), F.col("text").substr(last.cast("int") + 1, F.length("text")))
+    clean = clean.withColumn("text", F.when(F.col("_d").isNull(), F.col("text")).otherwise(said))
     counted = F.when(F.col("_d").isNull(), F.col("_row")["n_chars"] if "n_chars" in columns else F.lit(None)).otherwise(F.length("text").cast("long"))
     new = {"text": F.col("text"), "n_chars": counted}
     return clean.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in columns])
