@@ -534,3 +534,15 @@ def test_many_spans_are_redacted(spark):
     text = "".join(f"x a{i}@b.co é " for i in range(1000)) + "end"
     df = docs_of(spark, [text]).withColumn("n_chars", F.lit(0).cast("long"))
     assert pii.redact(df).first()["text"] == "x [EMAIL] é " * 1000 + "end"
+
+
+def test_packing_of_a_hot_id(spark):
+    """Rows without an id, and rows of one id, are more than the bound: every slot is taken once, batches are full."""
+    rows = [(None, "x")] * 300 + [(7, "x y")] * 200 + [(i, "x " * (i % 5)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, 2, 16, hot=50).collect()
+    assert len(got) == len(rows) and len({(x["bucket"], x["batch"], x["slot"]) for x in got}) == len(rows)
+    for b in {x["bucket"] for x in got}:
+        own = [x for x in got if x["bucket"] == b]
+        room = 16 // own[0]["padded_to"]
+        assert sorted(x["batch"] * room + x["slot"] for x in own) == list(range(len(own)))

@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_packing": packing.OP4_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
     "op8_minhash": minhash.OP8_SQL,
 }
