@@ -104,7 +104,23 @@ def test_decontamination_against_brute_force(spark):
 # katz
 
 
+def _good_turing(counts):
+    """Katz's discounts of counts 1 to 5, of counts of counts on a fitted line; 1 beyond."""
+    n = collections.Counter(v for v in counts.values() if v <= 50)
+    seen = sorted(n)
+    z = []
+    for i, v in enumerate(seen):
+        low = seen[i - 1] if i else 0
+        high = seen[i + 1] if i + 1 < len(seen) else 2 * v - low
+        z.append(n[v] / (0.5 * (high - low)))
+    b = min(np.polyfit(np.log(seen), np.log(z), 1)[0], -1.001) if len(seen) > 1 else -2.0
+    line = lambda v: v**b
+    tail = 6 * line(6) / line(1)
+    return lambda v: 1.0 if v > 5 else ((v + 1) * line(v + 1) / (v * line(v)) - tail) / (1 - tail)
+
+
 def _katz(texts, train):
+    """The model from its formulas alone: tokens, counts, and the probability of a word after another."""
     toks = {i: [*words(t), "</s>"] for i, t in enumerate(texts)}
     c, b, hc = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in toks.items():
@@ -112,30 +128,32 @@ def _katz(texts, train):
             c.update(w)
             b.update(zip(["<s>", *w[:-1]], w, strict=True))
             hc.update(["<s>", *w[:-1]])
-    n = sum(c.values())
-    cc = lambda x: [sum(v == k for v in x.values()) for k in range(1, 7)]
-    m = katz.Model([len(c), n, *cc(c)], [len(b), sum(b.values()), *cc(b)])
-    p1 = {w: float(m.unigram(np.array([k]))[0]) for w, k in c.items()}
-    star, low = collections.defaultdict(float), collections.defaultdict(float)
+    n, d1, d2 = sum(c.values()), _good_turing(c), _good_turing(b)
+    freed = sum(k * (1 - d1(k)) for k in c.values())
+    total = n if freed > 0 else n + 1
+    p1 = {w: d1(k) * k / total for w, k in c.items()}
+    unknown = (freed or 1) / total
+    after = collections.defaultdict(dict)
     for (h, w), k in b.items():
-        star[h] += float(m.discounted(np.array([k]))[0])
-        low[h] += p1[w]
-    back = {h: tuple(float(x[0]) for x in katz.backoff(np.array([hc[h]]), np.array([star[h]]), np.array([low[h]]))) for h in star}
+        after[h][w] = d2(k) * k
+    below = {h: hc[h] + (hc[h] - sum(v.values()) < 1e-6) for h, v in after.items()}
 
     def p(w, h):
-        k = b.get((h, w), 0)
-        if k:
-            return float(m.discounted(np.array([k]))[0]) / back[h][1]
-        return 10 ** back.get(h, (0.0, 1))[0] * p1.get(w, m.unknown)
+        if w in after.get(h, ()):
+            return after[h][w] / below[h]
+        lower = p1.get(w, unknown)
+        if h not in after:
+            return lower
+        return (1 - sum(after[h].values()) / below[h]) / (1 - sum(p1[v] for v in after[h])) * lower
 
-    return toks, c, n, m, p1, p, back
+    return toks, c, n, p, after
 
 
 def test_katz_against_brute_force(spark):
     r = random.Random(4)
     texts = [prose(r, r.randint(1, 80), 60) for _ in range(60)] + [None, "", "Only ONCE", "Only ONCE", prose(r, 2000, 60)]
     train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
-    toks, c, n, m, p1, p, back = _katz(texts, train)
+    toks, c, n, p, back = _katz(texts, train)
     df = docs_of(spark, texts).withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1).repartition(3)
     rows = {x["doc_id"]: x for x in katz.score(df).collect()}
     assert len(rows) == len(texts)
@@ -148,6 +166,17 @@ def test_katz_against_brute_force(spark):
         assert sum(p(t, h) for t in c) + p("no such word", h) == pytest.approx(1.0)
 
 
+def test_discounts_are_good_turing_at_every_size():
+    # counts of counts of words and of pairs in corpora of two sizes: the raw estimate of d(4) is above 1 in all of them
+    for n in ([47282, 12115, 4986, 2403, 2211, 1010], [184604, 23148, 5982, 1955, 2263, 607], [196853, 56582, 23638, 13634, 12848, 6779], [1480242, 227968, 47069, 19756, 17459, 7018]):
+        d = katz.discounts(n)[1:-1]
+        want = [_good_turing(dict(enumerate(r for r, k in enumerate(n, 1) for _ in range(k))))(r) for r in range(1, 6)] if sum(n) < 100_000 else d
+        assert d == pytest.approx(want) and (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
+    for n in ([5], [0, 0, 3], [1, 5, 50, 500], [7, 7, 7, 7, 7]):  # no line, or one that does not fall
+        d = katz.discounts(n)[1:-1]
+        assert (d > 0).all() and (d < 1).all()
+
+
 def test_katz_edges(spark):
     df = docs_of(spark, ["a b", "a b"]).withColumn("train", F.lit(False))
     assert {(x["n_known"], x["score"], x["base_score"]) for x in katz.score(df).collect()} == {(0, 0.0, 0.0)}

@@ -3,8 +3,9 @@
 P(w|h) = d(c) c(h w) / c(h) if the bigram was seen in training, else bow(h) P(w); P(w) = d(c) c(w) / N, and what the discounts of
 unigrams free is the probability of the one unknown word. bow(h) = (1 - sum of P(w|h)) / (1 - sum of P(w)) over the words seen
 after h, so every history's distribution sums to one exactly. A history whose bigrams are all too frequent for a
-discount gets one more in its denominator, so that bow(h) is never zero. Discounts d(1..5) are Katz's, from counts of counts;
-where those give none in (0, 1), absolute discounting does.
+discount gets one more in its denominator, so that bow(h) is never zero. Discounts d(1..5) are Katz's, of each order's own counts of counts N(r), smoothed as
+Good and Turing's estimate needs: a line through log r and log Z(r) (N(r) over its distance to the counts beside it), fitted to r up to `FIT`. At a slope of
+b, (r + 1) N(r + 1) / N(r) / r is (1 + 1/r)^(b + 1), so for b below -1 (enforced) every discount lies in (0, 1) and grows with r, at every size of corpus.
 
 Tokens are hashed to 64 bits. Rows are read once into chunks of about `CHUNK` tokens (documents are never cut), stored in the shared folder. A chunk's distinct words
 and bigrams, with its training counts, go to key buckets; a bucket sums them over all chunks and answers each chunk in the
@@ -30,6 +31,7 @@ from . import common, kernels
 
 CHUNK = 800_000
 TOP = 5  # counts beyond are not discounted
+FIT = 50  # counts of counts up to this one are smoothed
 END, BEGIN = np.uint64(0xE4D), np.uint64(0xB05)  # reserved keys: the end token, and the history of a first word
 STATE = "chunk long, n_docs long, n_tokens long, docs binary, lengths binary, train binary, words binary, tokens binary"
 ASKED = "kind int, bucket int, chunk long, keys binary, values binary"
@@ -176,7 +178,7 @@ def sum_counts(table: pa.Table) -> pa.Table:
     own = np.zeros(len(inverse), np.uint8)
     own[owner] = 1
     word = total[unique != BEGIN] if kind == 0 else total
-    stats = [int((word > 0).sum()), int(word.sum()), *[int((word == r).sum()) for r in range(1, TOP + 2)]]
+    stats = [int((word > 0).sum()), int(word.sum()), *np.bincount(word[(word > 0) & (word <= FIT)], minlength=FIT + 1)[1:].tolist()]
     rows, at = [], 0
     for chunk, k in zip(table.column("chunk").to_pylist(), keys, strict=True):
         part = slice(at, at + len(k))
@@ -189,19 +191,26 @@ def sum_counts(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, _ANSWER)])
 
 
+def slope(counts_of_counts: list[int]) -> float:
+    """The slope of the line through (log r, log Z(r)) of all N(r) > 0; -2 where fewer than two are."""
+    n = np.asarray([0, *counts_of_counts], float)
+    r = np.flatnonzero(n)
+    if len(r) < 2:
+        return -2.0
+    below = np.concatenate([[0], r[:-1]])
+    above = np.concatenate([r[1:], [2 * r[-1] - below[-1]]])
+    x, y = np.log(r), np.log(2 * n[r] / (above - below))
+    x -= x.mean()
+    return float(x @ y / (x @ x))
+
+
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """d(r) for r = 0..TOP + 1; the last stands for all larger counts."""
-    n = [0, *counts_of_counts]
     d = np.ones(TOP + 2)
-    if not n[1]:
-        return d
-    common_share = (TOP + 1) * n[TOP + 1] / n[1]
-    for r in range(1, TOP + 1):
-        good = (r + 1) * n[r + 1] / n[r] / r if n[r] else 0.0
-        d[r] = (good - common_share) / (1 - common_share) if common_share < 1 else 0.0
-    if not np.all((d[1:-1] > 0) & (d[1:-1] < 1)):
-        flat = n[1] / (n[1] + 2 * n[2])
-        d[1:-1] = [1 - min(flat, 0.9) / r for r in range(1, TOP + 1)]
+    if any(counts_of_counts):
+        b = min(slope(counts_of_counts) + 1, -1e-3)
+        rest = np.expm1(b * np.log(TOP + 1))  # (TOP + 1) N(TOP + 1) / N(1), less 1
+        d[1:-1] = (np.expm1(b * np.log1p(1 / np.arange(1, TOP + 1))) - rest) / -rest
     return d
 
 
@@ -211,7 +220,7 @@ class Model:
     def __init__(self, words: list[int], pairs: list[int]):
         self.distinct, self.tokens = words[0], words[1]
         self.d1, self.d2 = discounts(words[2:]), discounts(pairs[2:])
-        freed = sum(n * r * (1 - self.d1[r]) for r, n in enumerate(words[2:-1], 1))
+        freed = sum(n * r * (1 - self.d1[r]) for r, n in enumerate(words[2 : TOP + 2], 1))
         self.n = self.tokens + (freed <= 0)
         self.unknown = 1.0 if not self.tokens else (freed if freed > 0 else 1.0) / self.n
 
@@ -338,8 +347,8 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = max(64, -(-total // 1_000_000))
     answers = scratch.table(state.mapInArrow(ask_counts(buckets), ASKED).groupBy("kind", "bucket").applyInArrow(sum_counts, ANSWER), compression="none")
     common.free(spark)
-    sums = answers.where("chunk = -1").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(TOP + 3)]).collect()
-    by = {r["kind"]: [int(r[f"s{i}"]) for i in range(TOP + 3)] for r in sums}
+    sums = answers.where("chunk = -1").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(FIT + 2)]).collect()
+    by = {r["kind"]: [int(r[f"s{i}"]) for i in range(FIT + 2)] for r in sums}
     model = Model(by[0], by[1])
     parts = lambda a: a.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("parts"))
     asked = state.join(parts(answers), "chunk").mapInArrow(ask_sums(buckets, model), ASKED)
