@@ -139,12 +139,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "sc19_trading_days",
-    "SELECT id, day::DATE AS day FROM (SELECT id, unnest(generate_series(published_date, published_date + 9, INTERVAL 1 DAY)) AS day FROM announcements WHERE id % 10 = 0) WHERE isodow(day) < 6",
+    "SELECT id, day::DATE AS day FROM (SELECT id, unnest(generate_series(published_date, published_date + 9, INTERVAL 1 DAY)) AS day FROM announcements) WHERE isodow(day) < 6",
     "announcements",
 )
 def _(t: Tables) -> DataFrame:
     d = F.col("published_date")
-    return t.announcements.where("id % 10 = 0").select("id", F.explode(dates.trading_days(d, F.date_add(d, 9))).alias("day"))
+    return t.announcements.select("id", F.explode(dates.trading_days(d, F.date_add(d, 9))).alias("day"))
 
 
 @query("sc20_direction_label", "SELECT announcement_id, CASE WHEN composite_score > 0.1::DOUBLE THEN 'bullish' WHEN composite_score < -0.1::DOUBLE THEN 'bearish' ELSE 'neutral' END AS direction FROM scores", "scores")
@@ -225,15 +225,15 @@ def _(t: Tables) -> DataFrame:
 @query(
     "src09_list_pages",
     """SELECT c_custkey::VARCHAR AS company_code, p + 1 AS page_index, i AS item_index, 'A' || (c_custkey * 100 + p * 10 + i) AS art_code FROM customer, range(4) r(p), range(3) q(i)
-    WHERE c_custkey % 50 = 0 AND p + 1 <= 3 AND (c_custkey % 100 <> 0 OR p < 1)""",
+    WHERE p + 1 <= 3 AND (c_custkey % 2 <> 0 OR p < 1)""",
 )
 def _(t: Tables) -> DataFrame:
     """Four JSON pages a company of 120 hits, of which three count; of every other company the second page is empty, so only the first counts."""
     k = F.col("c_custkey")
-    pages = t.raw("customer").where(k % 50 == 0).select(k, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"))
+    pages = t.raw("customer").select(k, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"))
     item = lambda i: F.struct(F.concat(F.lit("A"), (k * 100 + F.col("p") * 10 + i).cast("string")).alias("art_code"), F.lit("t").alias("title"), F.lit("").alias("notice_date"), F.lit("").alias("notice_content"))
     listed = F.transform(F.sequence(F.lit(0), F.lit(2)), item)
-    empty = (k % 100 == 0) & (F.col("p") == 1)
+    empty = (k % 2 == 0) & (F.col("p") == 1)
     data = F.struct((F.col("p") + 1).alias("page_index"), F.lit(50).alias("page_size"), F.lit(120).alias("total_hits"), F.when(~empty, listed).otherwise(F.slice(listed, 1, 0)).alias("list"))
     payload = pages.select(k.cast("string").alias("company_code"), (F.col("p") + 1).cast("long").alias("page_index"), F.to_json(F.struct(data.alias("data"))).alias("payload"))
     return readers.list_items(payload).select("company_code", "page_index", F.col("item_index").cast("long").alias("item_index"), "art_code")
