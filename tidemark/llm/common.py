@@ -16,11 +16,13 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all runs on one machine (local tests)."""
     set_to = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not set_to and (found := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         set_to = found.get()
     if not set_to:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
