@@ -10,8 +10,8 @@ drawn by hash. Verified links are merged into components by distributed min-labe
 component drop out, as a further link there would change nothing. Pivot rounds only save work: they end when few
 of their pairs are links.
 Then all documents of keys that still hold several components are settled exactly (`unsettled`): each set is ordered by one global order, rare
-shingles first, and two sets that reach the threshold share a shingle within their first n - ceil(percent * n / 100) + 1; all pairs of other
-components that do, and whose sizes and places allow the threshold, are compared. So no pair that shares a key is left out. The full sets are
+shingles first by their exact counts, and two sets that reach the threshold share a shingle within their first n - ceil(percent * n / 100) + 1; all
+pairs of other components that do, and whose sizes and places allow the threshold, are compared. So no pair that shares a key is left out. The full sets are
 made anew from the texts of the documents that share a key (a filter of bounded size picks them at the scan), so no other set is stored or moved.
 
 A link needs 100 * intersection >= percent * union, confirmed on the 64-bit hashes of all shingles. Null texts, and texts without words, are
@@ -71,8 +71,8 @@ KEY_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, keys array<l
 SET_SCHEMA = "doc_id long, shingles binary"
 #: Bits of the filter that says which documents' full sets are fetched; a fixed bound, so more documents only make it less sharp.
 FILTER_BITS = 1 << 24
-#: Bits of a shingle's slot in the counts that order shingles; and the documents of a shingle that meet in one block of its pairs.
-SLOT_BITS, BLOCK = 16, 1000
+#: The documents of a shingle that meet in one block of its pairs.
+BLOCK = 1000
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -200,39 +200,16 @@ def _held(batch: pa.RecordBatch, bits: int, held: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(np.all(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1, axis=0)))
 
 
-def slot_counts(full: DataFrame, sent) -> np.ndarray:
-    """About how many of the filter's sets hold a shingle, by slot. Counts of one in a task are left out: this only orders shingles."""
+def left_sets(full: DataFrame, sent) -> DataFrame:
+    """(id, n, shingles) of the filter's sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            h = np.frombuffer(b"".join(_held(batch, *sent.value).column(1).to_pylist()), "<u8")
-            n += np.bincount((kernels.mix(h, 60) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
-        used = np.flatnonzero(n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["slot", "n"])
-
-    rows = full.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
-
-
-def prefixes(full: DataFrame, sent, counts, percent: int) -> DataFrame:
-    """(id, n, shingles) of the filter's sets: the first shingles in the global order, of which linked sets share one at least."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
         for batch in batches:
             part = _held(batch, *sent.value)
-            sizes, lists = [], []
-            for v in part.column(1):
-                h = kernels.mix(np.frombuffer(v.as_buffer(), "<u8"), 60)
-                first = np.lexsort((h, order[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
-                sizes.append(len(h))
-                lists.append(h[first[: max(0, len(h) + percent * len(h) // -100 + 1)]].view(np.int64))
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, lists)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "n", "shingles"])
+            size = np.asarray([len(v) // 8 for v in part.column(1).to_pylist()], np.int64)
+            flat = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), lists], names=["id", "n", "shingles"])
 
     return full.mapInArrow(run, "id long, n long, shingles array<long>")
 
@@ -240,29 +217,34 @@ def prefixes(full: DataFrame, sent, counts, percent: int) -> DataFrame:
 def unsettled(scratch: common.Scratch, full: DataFrame, now: DataFrame, percent: int) -> DataFrame | None:
     """All pairs (a, b) that can still be linked among the documents of now(key, id, comp) whose keys hold several components; None without any.
 
+    Shingles of one component only come first in the global order, as they link nothing new; the others follow by their number of documents.
     A pair's first shared shingle bounds what they share by what follows it in both. A shingle of many documents is worked off in blocks.
+    The two joins by shingle read written tables, so that a frequent shingle's rows can be split over tasks (AQE).
     """
-    apart = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    apart = scratch.table(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"))
     left = scratch.table(now.join(apart, "key", "left_semi").select("id", "comp").distinct())
     if not left.limit(1).count():
         return None
-    context = full.sparkSession.sparkContext
-    sent = context.broadcast(id_filter(left.select("id")))
-    counts = context.broadcast(slot_counts(full, sent))
-    rows = prefixes(full, sent, counts, percent).join(left, "id").select("id", "comp", "n", F.posexplode("shingles").alias("at", "shingle"))
-    rows = scratch.table(rows, compression="zstd")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    shared = scratch.table(rows.join(shared.select("shingle", blocks.alias("blocks")), "shingle").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    scratch.drop(rows)
-    value = lambda s: F.struct("id", "comp", "n", (F.col("n") - F.col("at")).alias("rest")).alias(s)
-    one = shared.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), value("x"))
-    two = shared.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), value("y"))
+    sent = full.sparkSession.sparkContext.broadcast(id_filter(left.select("id")))
+    sets = scratch.table(left_sets(full, sent).join(left, "id"), compression="zstd")
+    rows = sets.select("id", "comp", "n", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    shared = scratch.table(shared.where("c0 < c1").select("shingle", "docs"), compression="zstd")
+    # a set's shared shingles in the global order; of n it needs ceil(percent * n / 100) of them at least, and the first of those that may be missed
+    own = rows.join(shared, "shingle").groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle"))).alias("s"))
+    own = own.withColumn("first", F.size("s") - F.ceil(F.col("n") * percent / 100) + 1).where("first > 0")
+    prefix = own.select("id", "comp", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), F.col("first").cast("int"))).alias("at", "s"))
+    prefix = prefix.select("id", "comp", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("s.shingle").alias("shingle"), F.ceil(F.col("s.docs") / BLOCK).cast("int").alias("blocks"))
+    prefix = scratch.table(prefix.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), compression="zstd")
+    common.free(full.sparkSession)
+    value = lambda s: F.struct("id", "comp", "n", "rest").alias(s)
+    one = prefix.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), value("x"))
+    two = prefix.select("shingle", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), value("y"))
     fits = F.expr(f"x.comp <> y.comp AND (i < j OR x.id < y.id) AND {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)")
     return one.join(two, ["shingle", "i", "j"]).where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, pivots: int = 3, most: int = 50, scratch: common.Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, pivots: int = 3, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = scratch or common.Scratch(spark, "minhash")
@@ -276,8 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     members = scratch.table(keyed.join(shared, "key", "left_semi"))
     common.free(spark)
     full = scratch.table(full_sets(docs, members.select("id"), size))
-    labels, links, tried = None, None, None
-    for turn in range(most):
+    labels, links, tried, turn, goes_on = None, None, None, 0, True
+    while goes_on:
         rows_now = members.where("first") if turn == 0 else members
         if labels is None:
             now = rows_now.select("key", "id", F.col("id").alias("comp"))
@@ -287,7 +269,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
         # several others, where components still differ
         orders = [F.col("id")] if turn < 2 else [F.xxhash64("id", F.lit(turn * pivots + i)) for i in range(pivots)]
         pivot = now.groupBy("key").agg(*[F.min_by(F.struct("id", "comp"), o).alias(f"p{i}") for i, o in enumerate(orders)], F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        pivot = pivot.where("c0 < c1").select("key", F.array_distinct(F.array(*[f"p{i}" for i in range(len(orders))])).alias("p"))
+        # as a written table: the join below has nothing else in its stage, so that a popular key's rows can be split over tasks (AQE)
+        pivot = scratch.table(pivot.where("c0 < c1").select("key", F.array_distinct(F.array(*[f"p{i}" for i in range(len(orders))])).alias("p")))
         # only keys whose documents are still apart go on: components never part again
         apart = scratch.table(now.join(pivot, "key"))
         if turn:
@@ -298,15 +281,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
         pairs = scratch.table(pairs)
         fresh = scratch.table(confirmed(pairs, full, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        if not fresh.limit(1).count():
-            if turn > 1:
-                break
-            continue
-        links = fresh if links is None else links.union(fresh)
-        labels = components(scratch, links, labels)
-        common.free(spark)
-        if turn > 1 and 8 * fresh.count() < pairs.count():
-            break
+        if found := fresh.count():
+            links = fresh if links is None else links.union(fresh)
+            labels = components(scratch, links, labels)
+            common.free(spark)
+        # a turn that costs more than it brings is the last one: the exact join below takes over
+        goes_on = turn == 0 or found > 0 and 8 * found >= pairs.count()
+        turn += 1
     common.free(spark)
     now = members.select("key", "id", F.col("id").alias("comp")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     pairs = unsettled(scratch, full, now, percent)
