@@ -160,6 +160,7 @@ def _searcher(tables):
                 "hit_items": pa.array(items, batch.schema.field("hit_items").type),
             }
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=pa.schema([batch.schema.field(n).with_nullable(True) for n in names]))
+        kernels.trim()
 
     return run
 

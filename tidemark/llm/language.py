@@ -119,7 +119,9 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict:
     rows = rows.select("text", "lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(top)).alias("p"))
 
     def below(cuts: dict[str, int]) -> DataFrame:
-        return rows.join(docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut long"), "lang").where("p < cut")
+        table = docs.sparkSession.createDataFrame(list(cuts.items()), "lang string, cut long")
+        small = sum(len(k) + 64 for k in cuts) <= common.BROADCAST_BYTES  # beyond that, rows and cuts are joined by lang
+        return rows.join(F.broadcast(table) if small else table, "lang").where("p < cut")
 
     # few more rows than needed come by hash; a language that falls short all the same (its rows repeat) gives all its rows
     cuts = {k: min(top, top * (2 * each + 64) // n) for k, n in counts.items()}
@@ -130,10 +132,10 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict:
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds lang_pred, score and ambiguous from the text alone."""
-    docs = docs.drop("lang_pred", "score", "ambiguous")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Adds lang_pred, score and ambiguous (or other names) from the text alone."""
+    docs, added = docs.drop(*names), names
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t()) for n, t in zip(added, (T.StringType, T.DoubleType, T.BooleanType), strict=True)]])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +152,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             best = np.where(letters, best, len(m["languages"]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(close & letters)],
-                names=[*batch.schema.names, "lang_pred", "score", "ambiguous"],
+                names=[*batch.schema.names, *added],
             )
+        kernels.trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -165,8 +168,11 @@ def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def accept(docs: DataFrame, model: dict) -> DataFrame:
     """The rows whose text has a language: neither "und" nor ambiguous; the same columns."""
-    marked = identify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("_row.text").alias("text")), model)
-    return marked.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("_row.*")
+    names = ["lang_pred", "score", "ambiguous"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    marked = identify(docs, model, tuple(names))
+    return marked.where((F.col(names[0]) != "und") & ~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

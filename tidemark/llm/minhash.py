@@ -79,6 +79,7 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
     for batch, data, off in kernels.pieces(batches, "text"):
         start, end, word = kernels.words(data, off, kernels.SPACED)
         yield batch, *distinct(*kernels.shingle_hashes(kernels.word_hashes(data, start, end), word, size))
+    kernels.trim()
 
 
 def set_keys(size: int, groups: int = GROUPS, rows: int = ROWS):
