@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.plans import stages, taxonomy
 from tidemark.sources import readers
 from tidemark.streaming import incremental
 
@@ -66,3 +68,50 @@ def test_incremental(spark, tmp_path):
     spark.range(2).write.mode("append").parquet(src)
     incremental.run_available(spark, src, "id long", chk, lambda b, i: seen.append(b.count())).awaitTermination()
     assert seen == [3, 2]
+
+
+def test_list_pages_and_bodies_are_fetched(spark):
+    def listing(endpoint, parameters):
+        if endpoint == "content":
+            return {"data": {"notice_content": "body " + parameters["art_code"]}} if parameters["art_code"] != "bad" else {"data": None}
+        if parameters["stock_list"] == "2":
+            raise OSError("down")
+        assert "end_time" not in parameters and parameters["begin_time"] == "1996-01-01"
+        return {"data": {"total_hits": 120, "list": [{"art_code": f"{parameters['stock_list']}-{parameters['page_index']}"}]}}
+
+    codes = spark.createDataFrame([("1.SH",), ("2.SZ",)], "code string")
+    request = readers.page_request(F.col("code"), F.lit(1), F.lit("1996-01-01"))
+    pages = readers.fetch_pages(codes.select(F.col("code").alias("company_code"), request.alias("request")), listing, per_minute=1e6)
+    assert [(r["company_code"], r["page_index"], json.loads(r["payload"])["data"]["list"][0]["art_code"]) for r in pages.collect()] == [("1.SH", i, f"1-{i}") for i in (1, 2, 3)]
+    bodies = readers.fetch_contents(spark.createDataFrame([("x",), ("x",), ("bad",)], "art_code string"), listing, per_minute=1e6)
+    assert {(r["art_code"], r["notice_content"], r["attach_url"]) for r in bodies.collect()} == {("x", "body x", None), ("bad", None, None)}
+
+
+def test_rate_limit():
+    now, waits = [0.0], []
+
+    def wait(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    limit = readers.RateLimit(30, clock=lambda: now[0], wait=wait)
+    limit()
+    now[0] += 0.5
+    limit()
+    now[0] += 5
+    limit()
+    assert waits == [1.5]
+
+
+def test_registries_and_run_rows(spark, tmp_path):
+    (tmp_path / "i.jsonl").write_text('{"group": "g", "industries": ["a", "b"]}\n{"group": "h"}\n')
+    pairs = taxonomy.load_industries(str(tmp_path / "i.jsonl"), spark)
+    assert pairs == [("a", "g"), ("b", "g")] and taxonomy.load_industries(str(tmp_path / "none"), spark) == []
+    df = spark.createDataFrame([("a",), ("x",), (None,)], "i string")
+    assert [r[0] for r in df.select(taxonomy.resolve_group(F.col("i"), pairs)).collect()] == ["g", taxonomy.DEFAULT_GROUP, taxonomy.DEFAULT_GROUP]
+    one, two = stages.Run("full", "r1"), stages.Run("score", "r2", metadata={"k": 1})
+    runs = one.row(spark).unionByName(two.row(spark))
+    got = {r["run_id"]: r for r in stages.fail_run(stages.complete_run(runs, "r1", F.current_timestamp(), 5, 2), "r2", F.current_timestamp(), "no").collect()}
+    assert (got["r1"]["status"], got["r1"]["records_processed"], got["r1"]["records_failed"], got["r1"]["run_metadata"]) == ("completed", 5, 2, None)
+    assert (got["r2"]["status"], got["r2"]["error_message"], got["r2"]["records_processed"]) == ("failed", "no", 0) and got["r2"]["completed_at"] >= got["r2"]["started_at"]
+    assert stages.run(["x"], {}).completed_at is not None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, numbers
 from ..operators import report, search, stats
 from ..operators.search import Filters
+from . import labels
 from . import taxonomy as T
 from .bridge import Tables
 from .registry import query
@@ -172,10 +173,13 @@ def _(t: Tables) -> DataFrame:
     return t.companies.select("id", T.resolve_group(F.col("industry")).alias("industry_group"))
 
 
-@query("jn09_labels", "SELECT DISTINCT field_name, CASE field_name WHEN 'revenue' THEN '营业收入' WHEN 'net_profit' THEN '净利润' ELSE field_name END AS label FROM eav", "eav")
+_LABELS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.FIELD_LABELS.items()) + ") AS l(name, said)"
+
+
+@query("jn09_labels", f"SELECT DISTINCT field_name, coalesce(said, field_name) AS label FROM eav LEFT JOIN {_LABELS} ON name = field_name", "eav")
 def _(t: Tables) -> DataFrame:
     names = t.fields.select("field_name").distinct()
-    return names.select("field_name", T.label(F.col("field_name"), {"revenue": "营业收入", "net_profit": "净利润"}).alias("label"))
+    return names.select("field_name", T.label(F.col("field_name"), labels.FIELD_LABELS).alias("label"))
 
 
 @query("jn10_code_to_id", "SELECT s.s_suppkey, c.id FROM supplier s JOIN companies c ON c.stock_code = lpad((s.s_suppkey * 3)::VARCHAR, 6, '0') || '.SH'", "companies")

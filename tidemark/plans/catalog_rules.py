@@ -428,3 +428,20 @@ def _(t: Tables) -> DataFrame:
 
     one = t.announcements.where("id = 42")
     return search.details(one, t.companies, t.classifications.where("announcement_id = 42"), t.scores.where("announcement_id = 42")).select("id", "title", "stock_name", "sub_category", "composite_score")
+
+
+@query(
+    "ups07_run_rows",
+    """SELECT announcement_id::VARCHAR AS run_id, CASE id WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'running' END AS status, published_date AS started_at,
+    CASE WHEN id IN (1, 2) THEN DATE '1999-01-02' END AS completed_at, (CASE WHEN id = 1 THEN 7 ELSE 0 END)::BIGINT AS records_processed, (CASE WHEN id = 1 THEN 3 ELSE 0 END)::BIGINT AS records_failed,
+    CASE WHEN id = 2 THEN 'boom' END AS error_message FROM announcements""",
+    "announcements",
+)
+def _(t: Tables) -> DataFrame:
+    """Stored runs, one an announcement, of which one is completed and one fails."""
+    runs = t.announcements.select(
+        F.col("announcement_id").cast("string").alias("run_id"), F.lit("running").alias("status"), F.col("published_date").alias("started_at"), F.lit(None).cast("date").alias("completed_at"),
+        F.lit(0).cast("long").alias("records_processed"), F.lit(0).cast("long").alias("records_failed"), F.lit(None).cast("string").alias("error_message"),
+    )
+    at = F.lit("1999-01-02").cast("date")
+    return stages.fail_run(stages.complete_run(runs, "ANN-1", at, 7, 3), "ANN-2", at, "boom")

@@ -379,3 +379,25 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     said = F.format_string("%+.3f", "direction")
     return t.scores.select("announcement_id", F.substring(said, 1, 1).alias("sign"), (F.abs("direction") >= 1).alias("whole"))
+
+
+@query(
+    "src08_page_request",
+    """SELECT c_custkey, 50 AS page_size, ((c_custkey % 3) + 1)::INT AS page_index, 'A' AS ann_type, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::VARCHAR END AS stock_list,
+    CASE WHEN c_custkey % 5 <> 0 THEN '1996-01-01' END AS begin_time, NULL::VARCHAR AS end_time FROM customer""",
+)
+def _(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    code = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".SH"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(".SZ"))).otherwise(k.cast("string"))
+    request = readers.page_request(code, k % 3 + 1, F.when(k % 5 == 0, "").otherwise("1996-01-01"))
+    return t.raw("customer").select("c_custkey", request.alias("r")).select("c_custkey", "r.*")
+
+
+_REGISTRY = [("metals", ("steel", "copper")), ("food", ("BUILDING", "MACHINERY"))]
+
+
+@query("src16_registry_groups", f"SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'food' ELSE '{T.DEFAULT_GROUP}' END AS industry_group FROM customer")
+def _(t: Tables) -> DataFrame:
+    """The groups of a registry other than the built-in one."""
+    pairs = [(i, g) for g, own in _REGISTRY for i in own]
+    return t.raw("customer").select("c_custkey", T.resolve_group(F.col("c_mktsegment"), pairs).alias("industry_group"))

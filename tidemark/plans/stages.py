@@ -6,8 +6,9 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -67,25 +68,48 @@ def mark_reported(announcements: DataFrame, items: DataFrame) -> DataFrame:
     return df.withColumn("processing_status", F.when(F.col("_hit"), "reported").otherwise(F.col("processing_status"))).drop("_hit")
 
 
+RUNS = (
+    "run_id string, run_type string, status string, started_at timestamp, completed_at timestamp, records_processed long, records_failed long, "
+    "error_message string, run_metadata string"
+)
+
+
 @dataclass
 class Run:
-    """A pipeline run's record."""
+    """A pipeline run's record; times are UTC."""
 
     run_type: str
     run_id: str = field(default_factory=lambda: str(uuid.uuid4()))
     status: str = "running"
+    started_at: datetime = field(default_factory=lambda: datetime.now(UTC))
+    completed_at: datetime | None = None
     records_processed: int = 0
     records_failed: int = 0
     error_message: str | None = None
     metadata: dict = field(default_factory=dict)
 
     def row(self, spark: SparkSession) -> DataFrame:
+        said = json.dumps(self.metadata, ensure_ascii=False) if self.metadata else None
         return spark.createDataFrame(
-            [(self.run_id, self.run_type, self.status, self.records_processed, self.records_failed, self.error_message, json.dumps(self.metadata, ensure_ascii=False))],
-            "run_id string, run_type string, status string, records_processed long, records_failed long, error_message string, run_metadata string",
+            [(self.run_id, self.run_type, self.status, self.started_at, self.completed_at, self.records_processed, self.records_failed, self.error_message, said)], RUNS
         )
 
 
+def complete_run(runs: DataFrame, run_id: str, at: Column, processed: int = 0, failed: int = 0) -> DataFrame:
+    """The stored runs with one of them completed; an unknown id changes nothing."""
+    return _updated(runs, run_id, status=F.lit("completed"), completed_at=at, records_processed=F.lit(processed).cast("long"), records_failed=F.lit(failed).cast("long"))
+
+
+def fail_run(runs: DataFrame, run_id: str, at: Column, error: str) -> DataFrame:
+    """The stored runs with one of them failed; its counts stay as they are."""
+    return _updated(runs, run_id, status=F.lit("failed"), completed_at=at, error_message=F.lit(error))
+
+
+def _updated(runs: DataFrame, run_id: str, **values: Column) -> DataFrame:
+    own = F.col("run_id") == run_id
+    return runs.withColumns({k: F.when(own, v).otherwise(F.col(k)) for k, v in values.items()})
+
+
 def run(stages: list[str], steps: dict[str, Callable[[], tuple[int, int]]]) -> Run:
     """Runs stages in order; each step gives (processed, failed). Row failures count, a stage's own failure ends the run; unknown stages are skipped."""
     made = Run("full" if len(stages) >= 4 else stages[0] if stages else "full", metadata={"stages": stages})
@@ -95,9 +119,9 @@ def run(stages: list[str], steps: dict[str, Callable[[], tuple[int, int]]]) -> R
         try:
             done, failed = steps[stage]()
         except Exception as e:
-            made.status, made.error_message = "failed", f"{stage}: {e}"
+            made.status, made.error_message, made.completed_at = "failed", f"{stage}: {e}", datetime.now(UTC)
             return made
         made.records_processed += done
         made.records_failed += failed
-    made.status = "completed"
+    made.status, made.completed_at = "completed", datetime.now(UTC)
     return made

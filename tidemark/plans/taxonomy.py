@@ -146,6 +146,17 @@ def load_events(path: str, spark: SparkSession) -> list[Event]:
     return [Event(r["major"], r["major_label"], r["sub"], r["sub_label"], r["direction_baseline"], tuple(r["fields"])) for r in rows]
 
 
+def load_industries(path: str, spark: SparkSession) -> list[tuple[str, str]]:
+    """(industry, group) pairs from JSON lines (group, industries), in the file's order; a missing file is an empty registry."""
+    try:
+        rows = spark.read.schema("group string, industries array<string>").json(path).collect()
+    except Exception as e:  # a missing path is an analysis error
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
+    return [(i, r["group"]) for r in rows for i in r["industries"] or []]
+
+
 def literal_map(pairs: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -155,6 +166,7 @@ def label(code: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(literal_map(table), code), code)
 
 
-def resolve_group(industry: Column) -> Column:
-    """An industry's group; null, empty and unmapped ones get the default group."""
-    return F.coalesce(F.try_element_at(literal_map(dict(industries())), industry), F.lit(DEFAULT_GROUP))
+def resolve_group(industry: Column, pairs: list[tuple[str, str]] | None = None) -> Column:
+    """An industry's group; null, empty and unmapped ones get the default group. The pairs are the built-in ones, or a loaded registry's."""
+    known = dict(industries() if pairs is None else pairs)
+    return F.coalesce(F.try_element_at(literal_map(known), industry), F.lit(DEFAULT_GROUP)) if known else F.lit(DEFAULT_GROUP)

@@ -97,6 +97,81 @@ def with_retry(call: Callable[[], object], attempts: int = 3, wait: Callable[[fl
     return {}
 
 
+class RateLimit:
+    """Keeps calls apart by a minute's share each; retries wait for it as well."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep):
+        self.least, self.clock, self.wait, self.last = 60.0 / per_minute, clock, wait, None
+
+    def __call__(self) -> None:
+        if self.last is not None and (left := self.least - (self.clock() - self.last)) > 0:
+            self.wait(left)
+        self.last = self.clock()
+
+
+def page_request(stock_code: Column, page_index: Column, start: Column | None = None, end: Column | None = None, size: int = PAGE_SIZE) -> Column:
+    """A list page's request: exchange suffixes go; an empty code or date sends no parameter (null)."""
+    bare = F.replace(F.replace(stock_code, F.lit(".SH"), F.lit("")), F.lit(".SZ"), F.lit(""))
+    said = lambda c: F.nullif(c, F.lit("")) if c is not None else F.lit(None).cast("string")
+    return F.struct(
+        F.lit(size).alias("page_size"), page_index.cast("int").alias("page_index"), F.lit("A").alias("ann_type"), said(bare).alias("stock_list"), said(start).alias("begin_time"), said(end).alias("end_time")
+    )
+
+
+class ListPages:
+    """A list interface and its bodies behind a client: (endpoint, parameters) to parsed JSON. An error is an empty page, or an empty body."""
+
+    def __init__(self, client: Callable[[str, dict], dict], limit: Callable[[], None], most: int = 20):
+        self.client, self.limit, self.most = client, limit, most
+
+    def _ask(self, endpoint: str, parameters: dict) -> dict:
+        self.limit()
+        try:
+            return self.client(endpoint, parameters) or {}
+        except Exception:  # whatever the client raises: the next company goes on
+            return {}
+
+    def pages(self, request: dict) -> Iterator[tuple[int, str]]:
+        """(page_index, payload) until an empty page, the last page told, or `most`."""
+        for index in range(1, self.most + 1):
+            page = self._ask("list", {k: v for k, v in (request | {"page_index": index}).items() if v is not None})
+            data = page.get("data") if isinstance(page.get("data"), dict) else {}
+            if not data.get("list"):
+                return
+            yield index, json.dumps(page, ensure_ascii=False)
+            if index >= (data.get("total_page") or -(-(data.get("total_hits") or 0) // PAGE_SIZE)):
+                return
+
+    def content(self, art_code: str) -> dict:
+        return self._ask("content", {"art_code": art_code, "client_source": "web", "page_index": 1}).get("data") or {}
+
+
+def fetch_pages(requests: DataFrame, client: Callable[[str, dict], dict], per_minute: float = 30, most: int = 20) -> DataFrame:
+    """(company_code, page_index, payload) of (company_code, request) rows, read by one task so that the rate limit holds. Write it before using it twice."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = ListPages(client, RateLimit(per_minute), most)
+        for batch in batches:
+            for code, request in zip(batch["company_code"], batch["request"], strict=True):
+                for index, payload in source.pages(dict(request)):
+                    yield pd.DataFrame({"company_code": [code], "page_index": [index], "payload": [payload]})
+
+    return requests.select("company_code", "request").coalesce(1).mapInPandas(run, "company_code string, page_index long, payload string")
+
+
+def fetch_contents(art_codes: DataFrame, client: Callable[[str, dict], dict], per_minute: float = 30) -> DataFrame:
+    """(art_code, notice_content, attach_url_web, attach_url) of each art_code, as `announcements_from` reads it; nulls after an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = ListPages(client, RateLimit(per_minute))
+        for batch in batches:
+            for code in batch["art_code"]:
+                said = source.content(code)
+                yield pd.DataFrame({"art_code": [code]} | {k: pd.Series([said.get(k)], dtype=object) for k in ("notice_content", "attach_url_web", "attach_url")})
+
+    return art_codes.select("art_code").distinct().coalesce(1).mapInPandas(run, "art_code string, notice_content string, attach_url_web string, attach_url string")
+
+
 def vendor_source(client: Callable[[str, dict], Iterable[tuple]], schema: str = "ts_code string, value string", per_minute: float = 200) -> type[DataSource]:
     """A vendor interface as a Spark data source named "vendor", read by one task so that its rate limit holds.
 
@@ -120,15 +195,19 @@ def vendor_source(client: Callable[[str, dict], Iterable[tuple]], schema: str =
 
 class VendorReader(DataSourceReader):
     def __init__(self, options: dict, client: Callable[[str, dict], Iterable[tuple]], per_minute: float):
-        self.options, self.client, self.pause = options, client, 60.0 / per_minute
+        self.options, self.client, self.per_minute = options, client, per_minute
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        time.sleep(self.pause)
-        parameters = json.loads(self.options.get("parameters", "{}"))
-        yield from with_retry(lambda: list(self.client(self.options.get("endpoint", ""), parameters)))
+        parameters, limit = json.loads(self.options.get("parameters", "{}")), RateLimit(self.per_minute)
+
+        def call() -> list[tuple]:
+            limit()
+            return list(self.client(self.options.get("endpoint", ""), parameters))
+
+        yield from with_retry(call)
 
 
 def call_out(df: DataFrame, column: str, out: str, answer: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
