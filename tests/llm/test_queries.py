@@ -1,9 +1,12 @@
 """The registered queries: SQL where there is any, else plain Python; and the pipeline, stage by stage."""
 
 import os
+import random
+import re
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -51,3 +54,44 @@ def test_pipeline(spark, tables):
         docs, before = out, n
         ids = {r[0] for r in out.select("doc_id").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, tables).select("doc_id").collect()} == ids
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Each stage's decisions on a fixture, made by plain loops over all documents, pairs and windows."""
+    r = random.Random(21)
+    syllables = {"a": ["the", "ing", "ow", "sh"], "b": ["eau", "ois", "qué", "ou"]}
+    said = lambda k, n: " ".join("".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    texts = [(said("ab"[i % 2], r.randint(20, 60)), "ab"[i % 2]) for i in range(80)]
+    passage = said("a", 12)
+    texts += [(None, "a"), ("12 34 !!", "b"), ("", None)]  # no letters: they go
+    texts += [(texts[3][0], "b"), (texts[4][0].upper(), "a"), (texts[6][0] + " tail", "a")]  # copies: they go
+    texts += [(f"{said('a', 15)} {passage.upper()} {said('a', 15)}", "a")]  # a benchmark passage: it goes
+    texts += [(f"{said('a', 12)} me.you@site.example.org and 10.0.0.7 {said('a', 12)} +1 (555) 123-4567 {said('a', 3)}", "a")]
+    docs = pd.DataFrame([(i, t, lang, "s", None if t is None else len(t)) for i, (t, lang) in enumerate(texts)], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    docs.astype({"n_chars": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(1, passage), (2, said("b", 25)), (3, None)], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+
+    left = {i: t for i, (t, _) in enumerate(texts) if t and any(map(str.isalpha, t))}
+    low = lambda t: t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, low(t).split()) for i, t in left.items())}
+    group = {i: i for i in left}
+    for i in left:
+        for j in left:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    left = {i: t for i, t in left.items() if group[i] == i}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = {tuple(w[k : k + 10]) for w in map(words, (passage,)) for k in range(len(w) - 9)}
+    left = {i: t for i, t in left.items() if not any(tuple(w[k : k + 10]) in windows for w in [words(t)] for k in range(len(w)))}
+    clean = {i: t.replace("me.you@site.example.org", "[EMAIL]").replace("10.0.0.7", "[IP]").replace("+1 (555) 123-4567", "[PHONE]") for i, t in left.items()}
+    assert set(range(80)) <= set(clean) | {i for i in range(80) if group.get(i) != i} and len(clean) == 81
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert dict(zip(got.doc_id, got.text, strict=True)) == clean
+    assert all(n == len(clean[i].split()) and c == len(clean[i]) for i, n, c in zip(got.doc_id, got.n_tokens, got.n_chars, strict=True))
+    counts = sorted(len(t.split()) for t in clean.values())
+    tops = sorted(set(counts))
+    if len(tops) <= 16:
+        assert (got.padded_to == got.n_tokens).all()
+    assert (got.padded_to >= got.n_tokens).all() and not got.duplicated(["bucket", "batch", "slot"]).any()
