@@ -74,7 +74,7 @@ def test_url_trie_and_join_against_brute_force(spark):
 
 def test_decontamination_against_brute_force(spark):
     r = random.Random(3)
-    items = [(i, prose(r, r.choice([1, 3, 10, 25]), 30)) for i in range(12)] + [(12, None), (13, " .,! "), (0, "same item again " * 4)]
+    items = [(i, prose(r, r.choice([1, 3, 10, 25]), 30)) for i in range(12)] + [(12, None), (13, " .,! "), (0, "same item again " * 4), (None, prose(r, 12, 30))]
     texts = [prose(r, 60, 30) for _ in range(40)] + [None, "", "...", items[3][1].upper(), prose(r, 3000, 30)]
     for i in range(10):
         texts[i] += " , " + items[i][1].replace(" ", "--") + "!"
@@ -93,7 +93,7 @@ def test_decontamination_against_brute_force(spark):
                     for at in range(len(w) - n + 1):
                         if w[at : at + n] == v[k : k + n]:
                             hit.update(range(at, at + n))
-                            own.add(str(item))
+                            own.add("" if item is None else str(item))
             assert got[i]["n_words"] == len(w) and got[i]["hit_items"] == sorted(own)
             assert sum(s["words"] for s in got[i]["hit_spans"]) == len(hit)
     empty = decontaminate.mark(df, bench.limit(0)).where(F.col("doc_id") == 0).first()

@@ -10,7 +10,7 @@ The items are broadcast in blocks of at most `common.BROADCAST_BYTES` of text; e
 so a larger benchmark means more passes, never a larger broadcast. Nothing is shuffled.
 
 Null and empty texts have no words and no hits. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. Texts
-are searched whole. Equal item_ids (ties) count once. Repeated documents are judged alike, an empty benchmark marks
+are searched whole. Equal item_ids (ties) count once; items without an item_id are one, named by the empty text. Repeated documents are judged alike, an empty benchmark marks
 nothing, other columns pass through (columns with the result's names are replaced).
 """
 
@@ -145,7 +145,7 @@ def _searcher(tables):
                     said = lambda x, y, a=a: b" ".join([low[s:e] for s, e in zip(start[a + x : a + y], end[a + x : a + y], strict=True)])
                     for at, which in m.search(h[a:b], said):
                         hits.append((at, at + m.length))
-                        got.update(map(str, which))
+                        got.update("" if w is None else str(w) for w in which)
                 merged: list[list[int]] = []
                 for x, y in sorted(hits):
                     if merged and x <= merged[-1][1]:
@@ -195,7 +195,7 @@ runs AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, runs.n, i, item_id FROM runs JOIN windows USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
