@@ -81,6 +81,8 @@ def test_upserts(spark):
     assert {tuple(r) for r in upsert.merge_non_null(nulls, spark.createDataFrame([(None, 6, "n")], "k string, v int, w string"), ["k"]).collect()} == {(None, 6, "n")}
     repeated = spark.createDataFrame([("a", 7, "p", 1), ("a", 8, "q", 2)], "k string, v int, w string, n int")
     assert {tuple(r) for r in upsert.merge_non_null(old, repeated, ["k"], order="n").collect()} == {("a", 8, "q"), ("b", 2, None)}
+    twice = spark.createDataFrame([("a", 8, "p"), ("a", 9, None), ("d", None, "x"), ("d", None, "y")], "k string, v int, w string")  # without an order: the greatest row
+    assert {tuple(r) for r in upsert.replace(old, twice, ["k"]).collect()} == {("a", 9, None), ("b", 2, None), ("d", None, "y")}
 
 
 def _sequential(rows):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _NUMBER = r"(?i)^[+-]?(?:(?:[0-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?(?:e[+-]?[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*(?:e[+-]?[0-9](?:_?[0-9])*)?|inf(?:inity)?|nan)$"
 _WIDE = ("０１２３４５６７８９", "0123456789")
 # Fixed value: the characters stripped from a number's front, as a set.
-VAGUE = "约近超过逾不多于至少低高"
+VAGUE = "约近超过超逾不多于至少不低于不超过不高于"
 
 
 def to_double(text: Column) -> Column:

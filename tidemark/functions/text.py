@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # The six entities, decoded in this order.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+# Scripts and styles with their content, tags, and the control characters that go.
+HIDDEN = r"(?is)<(script|style)[^>]*>.*?</\1>"
+TAG = r"<[^>]+>"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 MAX_CHARS = 2000
 PREPROCESSED_CHARS = 512 * 3
 #: Unicode white space, and the separators \x1c-\x1f that Java's class leaves out.
@@ -15,8 +19,8 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 def clean_html(text: Column) -> Column:
     """Text without scripts, styles and tags, with six entities decoded; null and empty give ""."""
-    out = F.regexp_replace(text, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
+    out = F.regexp_replace(text, HIDDEN, "")
+    out = F.regexp_replace(out, TAG, "")
     for entity, plain in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return F.coalesce(out, F.lit(""))
@@ -27,7 +31,7 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def remove_control_chars(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, "")
 
 
 def clean_text(text: Column) -> Column:

@@ -18,13 +18,14 @@ def to_fields(results: DataFrame, model: str = "model") -> DataFrame:
     value as True or False, which reads back as no number), lists are json, everything else is text.
     """
     ev = F.broadcast(T.events_df(results.sparkSession).select(F.col("sub").alias("sub_category"), F.col("fields").alias("_own")))
-    # a raw string map keeps every value's JSON text, so its kind is seen from its first character
-    parsed = results.withColumn("_v", F.expr("try_parse_json(result)"))
-    rows = parsed.join(ev, "sub_category", "left").select("announcement_id", "_own", F.expr("from_json(case when startswith(schema_of_variant(_v), 'OBJECT') then to_json(_v) end, 'map<string,string>')").alias("_m"), "_v")
-    rows = rows.select("announcement_id", "_own", "_v", F.explode("_m").alias("field_name", "_s"))
+    parsed = results.join(ev, "sub_category", "left").select("announcement_id", "_own", F.expr("try_parse_json(result)").alias("_v"))
+    # an array's elements have no key
+    rows = parsed.lateralJoin(results.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key is not null")
+    rows = rows.select("announcement_id", "_own", F.col("key").alias("field_name"), "value")
     rows = rows.where(F.col("_own").isNull() | F.array_contains("_own", F.col("field_name")) | F.col("field_name").isin(*T.GENERIC_FIELDS))
-    kind = F.expr("schema_of_variant(try_variant_get(_v, concat('$[\"', field_name, '\"]'), 'variant'))")
-    kind = F.coalesce(kind, F.lit("VOID"))
+    rows = rows.select("announcement_id", "field_name", "value", F.expr("schema_of_variant(value)").alias("_kind"))
+    rows = rows.withColumn("_s", F.expr("case when _kind = 'STRING' then cast(value as string) else to_json(value) end"))
+    kind = F.col("_kind")
     truth = kind == "BOOLEAN"
     numeric = truth | kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)")
     return rows.select(

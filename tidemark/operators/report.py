@@ -10,6 +10,21 @@ from ..plans import taxonomy as T
 from .stats import report_totals
 
 TABLE_ROWS = 20
+# The texts and formats of the report.
+QUIET = "%s 共处理 %d 条公告，无高影响事件。"
+LOUD = "%s 共处理 %d 条公告，其中 %d 条高影响事件。 最高评分: %s... (综合: %+.3f)"
+HEAD = "# 公告事件驱动分析日报\n**日期**: %s\n\n---\n\n## 一、执行摘要\n\n- **公告总数**: %d\n- **高影响事件**: %d (阈值 |score| ≥ %s)\n- **利好信号**: %d | **利空信号**: %d | **中性**: %d\n"
+ROW = "| %s(%s) | %s | %s | %s | %+.2f | %.2f | %.2f | %.2f | **%+.3f** |"
+COUNT = "- **%s**: %d 条"
+DEEP = "### %d. %s — %s\n\n- **综合评分**: %+.3f\n\n> %s\n"
+UNTITLED = "(无标题)"
+UNSAID = "*(AI 分析暂不可用)*"
+TABLE = "| 股票 | 行业 | 公告标题 | 分类 | 方向 | 强度 | 意外度 | 可信度 | 综合评分 |\n|------|------|---------|------|------|------|--------|--------|----------|\n"
+SECTION_TABLE = "## 二、高影响事件\n\n"
+NO_TABLE = "*今日无高影响事件*"
+SECTION_CATEGORIES = "## 三、分类分布\n\n"
+SECTION_GROUPS = "## 四、行业分布\n\n"
+SECTION_DEEP = "## 五、深度分析\n\n"
 
 
 def items(announcements: DataFrame, scores: DataFrame, classifications: DataFrame, companies: DataFrame, report_date=None) -> DataFrame:
@@ -53,8 +68,8 @@ def summary(rows: DataFrame, report_date: str, threshold: float = T.HIGH_IMPACT)
         F.count_if(strong).alias("high"),
         F.max_by(F.struct("title", "composite_score"), F.when(strong, F.struct(F.abs("composite_score"), -F.col("announcement_id")))).alias("top"),
     )
-    text = F.when(F.col("high") == 0, F.format_string("%s 共处理 %d 条公告，无高影响事件。", F.lit(report_date), "total")).otherwise(
-        F.format_string("%s 共处理 %d 条公告，其中 %d 条高影响事件。 最高评分: %s... (综合: %+.3f)", F.lit(report_date), "total", "high", F.substring("top.title", 1, 30), "top.composite_score")
+    text = F.when(F.col("high") == 0, F.format_string(QUIET, F.lit(report_date), "total")).otherwise(
+        F.format_string(LOUD, F.lit(report_date), "total", "high", F.substring("top.title", 1, 30), "top.composite_score")
     )
     return one.select("total", "high", text.alias("summary_text"))
 
@@ -71,31 +86,30 @@ def markdown(rows: DataFrame, report_date: str, narratives: DataFrame | None = N
     t = report_totals(rows, threshold)
     head = t.select(
         F.format_string(
-            "# 公告事件驱动分析日报\n**日期**: %s\n\n---\n\n## 一、执行摘要\n\n- **公告总数**: %d\n- **高影响事件**: %d (阈值 |score| ≥ %s)\n- **利好信号**: %d | **利空信号**: %d | **中性**: %d\n",
+            HEAD,
             F.lit(report_date), "total", "high", F.lit(str(threshold)), "bullish", "bearish", "neutral",
         ).alias("text")
     )
     q = lambda c: F.coalesce(F.col(c), F.lit("?"))
     row = F.format_string(
-        "| %s(%s) | %s | %s | %s | %+.2f | %.2f | %.2f | %.2f | **%+.3f** |", q("stock_name"), q("stock_code"), F.coalesce(F.nullif("industry", F.lit("")), F.lit("?")),
+        ROW, q("stock_name"), q("stock_code"), F.coalesce(F.nullif("industry", F.lit("")), F.lit("?")),
         F.substring(F.coalesce("title", F.lit("")), 1, 30), q("sub_category"), "direction", "magnitude", "surprise", "credibility", "composite_score",
     )
     table = _lines(ranked(strong, TABLE_ROWS), row, [F.col("place")])
-    cats = _lines(categories(rows), F.format_string("- **%s**: %d 条", "category", "n"), [F.desc("n"), F.col("category")])
-    groups = _lines(industry_groups(rows), F.format_string("- **%s**: %d 条", "industry_group", "n"), [F.desc("n"), F.col("industry_group")])
+    cats = _lines(categories(rows), F.format_string(COUNT, "category", "n"), [F.desc("n"), F.col("category")])
+    groups = _lines(industry_groups(rows), F.format_string(COUNT, "industry_group", "n"), [F.desc("n"), F.col("industry_group")])
     deep = ranked(strong, top)
     deep = deep.join(narratives, "announcement_id", "left") if narratives is not None else deep.withColumn("narrative", F.lit(None).cast("string"))
     said = F.format_string(
-        "### %d. %s — %s\n\n- **综合评分**: %+.3f\n\n> %s\n", "place", q("stock_name"), F.coalesce("title", F.lit("(无标题)")), "composite_score", F.coalesce("narrative", F.lit("*(AI 分析暂不可用)*"))
+        DEEP, "place", q("stock_name"), F.coalesce("title", F.lit(UNTITLED)), "composite_score", F.coalesce("narrative", F.lit(UNSAID))
     )
     deep = _lines(deep, said, [F.col("place")])
-    header = "| 股票 | 行业 | 公告标题 | 分类 | 方向 | 强度 | 意外度 | 可信度 | 综合评分 |\n|------|------|---------|------|------|------|--------|--------|----------|\n"
     parts = [
         head,
-        table.select(F.concat(F.lit("## 二、高影响事件\n\n"), F.when(F.col("text") == "", "*今日无高影响事件*").otherwise(F.concat(F.lit(header), "text")), F.lit("\n")).alias("text")),
-        cats.select(F.concat(F.lit("## 三、分类分布\n\n"), "text", F.lit("\n")).alias("text")),
-        groups.select(F.concat(F.lit("## 四、行业分布\n\n"), "text", F.lit("\n")).alias("text")),
-        deep.select(F.when(F.col("text") != "", F.concat(F.lit("## 五、深度分析\n\n"), "text")).otherwise("").alias("text")),
+        table.select(F.concat(F.lit(SECTION_TABLE), F.when(F.col("text") == "", NO_TABLE).otherwise(F.concat(F.lit(TABLE), "text")), F.lit("\n")).alias("text")),
+        cats.select(F.concat(F.lit(SECTION_CATEGORIES), "text", F.lit("\n")).alias("text")),
+        groups.select(F.concat(F.lit(SECTION_GROUPS), "text", F.lit("\n")).alias("text")),
+        deep.select(F.when(F.col("text") != "", F.concat(F.lit(SECTION_DEEP), "text")).otherwise("").alias("text")),
     ]
     out = None
     for i, p in enumerate(parts):

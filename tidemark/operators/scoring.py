@@ -16,9 +16,12 @@ VERSION = "v1.0"
 
 
 def field_map(fields: DataFrame, order: Column, most_recent: bool = True) -> DataFrame:
-    """EAV rows (announcement_id, field_name, field_value, field_type) to one map a row's announcement; of repeated names the last by `order`."""
+    """EAV rows (announcement_id, field_name, field_value, field_type) to one map a row's announcement; of repeated names the last by `order`.
+
+    One exchange by announcement serves both groupings, and the join that follows.
+    """
     pick = F.max_by if most_recent else F.min_by
-    one = fields.groupBy("announcement_id", "field_name").agg(pick(F.struct("field_value", "field_type"), order).alias("f"))
+    one = fields.repartition("announcement_id").groupBy("announcement_id", "field_name").agg(pick(F.struct("field_value", "field_type"), order).alias("f"))
     number = F.when(F.col("f.field_type") == "numeric", value_as_float(F.col("f.field_value"))).otherwise(to_double(F.col("f.field_value")))
     bad = (F.col("f.field_type") != "numeric") & F.col("f.field_value").isNotNull() & number.isNull()
     present = F.when(F.col("f.field_type") == "numeric", number.isNotNull()).otherwise(F.col("f.field_value").isNotNull())

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def _last(new: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row a key: the last by `order`, or any if the input is known to be unique."""
-    if order is None:
-        return new
+    """One row a key: the last by `order`; of ties, and without an order, the greatest row, column by column (nulls are least)."""
     rest = [c for c in new.columns if c not in keys]
-    one = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    if not rest:
+        return new.distinct()
+    row = F.struct(*rest)
+    one = new.groupBy(*keys).agg((F.max(row) if order is None else F.max_by(row, F.struct(F.col(order), row))).alias("_r"))
     return one.select(*keys, "_r.*")
 
 

@@ -12,7 +12,7 @@ from . import stages
 from . import taxonomy as T
 from .bridge import Tables
 from .catalog_queries import _ITEM_VIEWS, _ITEMS, _items
-from .catalog_scalars import _LABELLED, _labelled
+from .catalog_scalars import _LABELLED, _WALK, _labelled
 from .registry import query
 
 
@@ -359,7 +359,15 @@ def _(t: Tables) -> DataFrame:
     return labelling.valid(_labelled(t))
 
 
-@query("lab03_merge_counts")
+# the second set repeats rows of the first, so none of its rows is kept
+@query(
+    "lab03_merge_counts",
+    f"""{_WALK}, all_ AS (SELECT * FROM {_LABELLED} UNION ALL SELECT * FROM {_LABELLED} WHERE place % 2 = 0),
+    n AS (SELECT count(*) AS total, count(*) FILTER (sub_category <> '' AND text <> '') AS labelled, count(*) FILTER (text <> '' AND sub_category IN (SELECT sub FROM events_dim)) AS known,
+      (SELECT count(*) FROM walk WHERE kept) AS kept FROM all_)
+    SELECT kept AS merged, total - labelled + known - kept AS skipped, labelled - known AS invalid FROM n""",
+    "events_dim",
+)
 def _(t: Tables) -> DataFrame:
     _, counts = labelling.merge([_labelled(t), _labelled(t).where("place % 2 = 0")])
     return t.spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()])

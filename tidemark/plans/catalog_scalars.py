@@ -314,14 +314,17 @@ def _(t: Tables) -> DataFrame:
     return a.unionByName(t.raw("benchmark").select(F.lit(1).alias("source"), F.col("item_id").alias("id"), "text"))
 
 
-@query(
-    "set02_first_wins",
-    f"""WITH RECURSIVE rows_ AS (SELECT row_number() OVER (ORDER BY place) AS n, place, coalesce(nullif(announcement_id, ''), 'text:' || text) AS k, text FROM {_LABELLED} WHERE sub_category IN (SELECT sub FROM events_dim) AND text <> ''),
+# one row after the other, with the keys kept before it
+_WALK = f"""WITH RECURSIVE rows_ AS (SELECT row_number() OVER (ORDER BY place) AS n, place, coalesce(nullif(announcement_id, ''), 'text:' || text) AS k, text FROM {_LABELLED} WHERE sub_category IN (SELECT sub FROM events_dim) AND text <> ''),
     walk(n, ks, ts, place, kept) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], -1::BIGINT, false
       UNION ALL SELECT r.n, CASE WHEN list_contains(w.ks, r.k) OR list_contains(w.ts, r.text) THEN w.ks ELSE list_append(w.ks, r.k) END,
         CASE WHEN list_contains(w.ks, r.k) OR list_contains(w.ts, r.text) THEN w.ts ELSE list_append(w.ts, r.text) END, r.place, NOT (list_contains(w.ks, r.k) OR list_contains(w.ts, r.text))
-      FROM walk w JOIN rows_ r ON r.n = w.n + 1)
-    SELECT place FROM walk WHERE kept""",
+      FROM walk w JOIN rows_ r ON r.n = w.n + 1)"""
+
+
+@query(
+    "set02_first_wins",
+    f"{_WALK} SELECT place FROM walk WHERE kept",
     "events_dim",
 )
 def _(t: Tables) -> DataFrame:
