@@ -295,6 +295,18 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_a_chat_of_many_turns(spark):
+    """20,000 turns in proportionate time; other columns are ignored, whatever their names."""
+    roles = ["user", "assistant", "assistant", "user", "user", "tool"]
+    rows = [(1, t, roles[t % 6], f"[{t}]", "x", "y") for t in range(20000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_spans string")
+    began = time.time()
+    got = chat_format.read_back(chat_format.format_chats(df)).first()
+    assert time.time() - began < 60
+    assert [(x["role"], x["text"]) for x in got["turns"]] == [(x[2], x[3]) for x in rows]
+    assert [got["formatted"][s["start"] : s["start"] + s["length"]] for s in got["loss_spans"]] == [f"\\o{t}\\c" for t in range(20000) if t % 6 in (1, 2)]
+
+
 # language
 
 

@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turn structs are collected and sorted (turn, then role, then text), runs of one role are merged by an
-array aggregation, and the merged turns are concatenated:
+A conversation's turn structs are collected and sorted (turn, then role, then text), each run of one role is merged by
+aggregating its slice of the array, and the merged turns are concatenated:
 
     <s>[ROLE user]text[NEXT]text[/ROLE]...</s>
 
@@ -12,7 +12,8 @@ spans, in code points, of the escaped assistant texts in the formatted string.
 
 Null roles and texts are read as empty. Repeated (conv_id, turn) rows all stay, ordered by role and text. A null conv_id is
 a conversation of its own. Empty tables give no rows; extra columns are ignored. A conversation is one output row, so its
-turns are gathered in one row; nothing larger than a conversation is ever gathered.
+turns are gathered in one row; nothing larger than a conversation is ever gathered. The work grows in
+proportion to a conversation's turns, but for sums over parts of `PART` turns.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+PART = 128
 BEGIN, END = "<s>", "</s>"
 OPEN, NEXT, CLOSE = "[ROLE ", "[NEXT]", "[/ROLE]"
 #: The escape character first, so that codes written later are never read as escaped ones.
@@ -44,38 +46,41 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) rows to (conv_id, formatted, loss_spans)."""
     clean = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(clean)).alias("_t"))
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-
-    def add(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        merged = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(escape(t["text"]))).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-        return F.when(
-            (F.size(acc) > 0) & (last["role"] == t["role"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))
-        ).otherwise(F.concat(acc, F.array(fresh)))
-
-    chats = chats.withColumn("_m", F.aggregate("_t", none, add))
-    block = lambda m: F.concat(F.lit(OPEN), escape(m["role"]), F.lit("]"), F.array_join(m["texts"], NEXT), F.lit(CLOSE))
-    chats = chats.withColumn("_b", F.transform("_m", block))
-    chats = chats.withColumn("formatted", F.concat(F.lit(BEGIN), F.array_join("_b", ""), F.lit(END)))
-    start = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-
-    def walk(acc: Column, m: Column) -> Column:
-        head = acc["at"] + len(OPEN) + 1 + F.length(escape(m["role"]))
-        inner = F.aggregate(
-            m["texts"],
-            F.struct(head.cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-            lambda a, t: F.struct(
-                (a["at"] + F.length(t) + len(NEXT)).cast("long").alias("at"),
-                F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(t).cast("long").alias("length")))).alias("spans"),
-            ),
-        )
-        return F.struct(
-            (inner["at"] - len(NEXT) + len(CLOSE)).cast("long").alias("at"),
-            F.when(m["role"] == "assistant", F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return chats.select("conv_id", "formatted", F.aggregate("_m", start, walk)["spans"].alias("loss_spans"))
+    told = F.transform(
+        "_t",
+        lambda t, i: F.struct(
+            escape(t["role"]).alias("role"),
+            escape(t["text"]).alias("text"),
+            F.coalesce(F.get("_t", i - 1)["role"] != t["role"], F.lit(True)).alias("opens"),
+            (t["role"] == "assistant").alias("loss"),
+        ),
+    )
+    chats = chats.withColumn("_e", told)
+    chats = chats.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_e") - 1), lambda i: F.get("_e", i)["opens"]))
+
+    def block(s: Column, k: Column) -> Column:
+        """One merged turn: the texts of the run that starts at s, up to the next run's start."""
+        run = F.slice(F.col("_e"), s + 1, F.coalesce(F.get("_s", k + 1), F.size("_e")) - s)
+        return F.concat(F.lit(OPEN), F.get("_e", s)["role"], F.lit("]"), F.array_join(F.transform(run, lambda t: t["text"]), NEXT), F.lit(CLOSE))
+
+    # what stands between a text and the one before it
+    head = lambda t, i: F.when(t["opens"], F.when(i > 0, len(CLOSE)).otherwise(len(BEGIN)) + len(OPEN) + F.length(t["role"]) + 1).otherwise(len(NEXT)).cast("long")
+    sizes = F.transform("_e", lambda t, i: F.struct(head(t, i).alias("head"), F.length(t["text"]).cast("long").alias("length"), t["loss"].alias("loss")))
+    chats = chats.select("conv_id", F.concat(F.lit(BEGIN), F.array_join(F.transform("_s", block), ""), F.lit(END)).alias("formatted"), sizes.alias("_z"))
+    # running sums in parts, so that no list is copied once a turn
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_z") - 1) / PART).cast("int")), lambda k: F.slice("_z", k * PART + 1, F.lit(PART)))
+    chats = chats.withColumn("_p", parts)
+    chats = chats.withColumn("_w", F.transform("_p", lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, t: n + t["head"] + t["length"])))
+    none = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
+
+    def walk(acc: Column, t: Column) -> Column:
+        start = acc["at"] + t["head"]
+        span = F.array(F.struct(start.alias("start"), t["length"].alias("length")))
+        return F.struct((start + t["length"]).alias("at"), F.when(t["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    before = lambda k: F.aggregate(F.slice("_w", F.lit(1), k), F.lit(0).cast("long"), lambda n, w: n + w)
+    spans = F.flatten(F.transform("_p", lambda p, k: F.aggregate(p, F.struct(before(k).alias("at"), none.alias("spans")), walk)["spans"]))
+    return chats.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
