@@ -7,8 +7,9 @@ hashes of its spans of `GRAM` code points (a bottom-k sketch). Likeness is 1 for
 spans the sketches estimate (0 if either has none).
 
 Null texts are read as empty; a text shorter than `GRAM` has one span, itself; the empty text has none. The next document
-is the one with the next smaller doc_id (rows of the same doc_id: by text); after the last comes the first. A table of one row is its own
-next. A null doc_id comes after all others. Texts are exchanged once, by ranges of doc_id; no range meets in one task unless one id repeats.
+is the one with the next smaller doc_id (rows of the same doc_id: by text, or by its hash where they fill several ranges); after the last
+comes the first. A table of one row is its own next. A null doc_id comes after all others. Texts are exchanged once, by ranges of doc_id
+and, within a hot id, of its texts' hashes; only rows equal in both must meet. Repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,31 +124,44 @@ def _points(text: str) -> np.ndarray:
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(_part, doc_id, text, _ghost), sorted, where each part ends with a copy of the row that follows it (a ghost).
 
-    Parts are ranges of doc_id between quantiles; only the ids' quantiles and each part's largest id reach the driver.
+    Parts are ranges of doc_id between quantiles. An id that fills several ranges (or null, by its share of the rows) has as many
+    parts of its own, by ranges of a hash of the text, so a hot id meets in no one task. Only the ids' quantiles, the counts and each
+    part's first row reach the driver.
     """
     spark = docs.sparkSession
     parts = parts or 4 * common.bucket_count(spark)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    cut = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
+    total, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    if not total:
+        return docs.select("doc_id", "text", F.lit(0).alias("_part"), F.lit(False).alias("_ghost"))
+    cuts = [int(c) for c in sorted(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))] if parts > 1 and named else []
+    nulls = max(1, round(parts * (total - named) / total))
+    array = lambda values: F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<bigint>)")
+    cut, own = array(cuts), array([cuts.count(c) for c in cuts])
     # the number of cuts below doc_id, by binary search
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))] or [F.lit(1)])
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(cut, at + n - 1) < F.col("doc_id"), at + n).otherwise(at)))
-    rows = docs.select("doc_id", "text", part.alias("_part"))
-    heads = sorted(((r[0], r[1]) for r in rows.groupBy("_part").agg(F.max("doc_id")).collect()), key=lambda r: r[0])
-    if not heads:
-        return rows.withColumn("_ghost", F.lit(False))
-    before = {p: heads[(k + 1) % len(heads)][0] for k, (p, _) in enumerate(heads)}  # descending ids: the part above comes before
-    size = max(p for p, _ in heads) + 2
-    tops, goes = [None] * size, [None] * size
-    for p, top in heads:
-        tops[p + 1], goes[p + 1] = top, before[p]
-    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part") + 1)
-    first = F.when(at(tops, "long").eqNullSafe(F.col("doc_id")), at(goes, "int"))
+    below = F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(cut, at + n - 1) < F.col("doc_id"), at + n).otherwise(at))
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), below).alias("_below"))
+    share = F.when(F.col("doc_id").isNull(), nulls).when(F.get(cut, F.col("_below")) == F.col("doc_id"), F.get(own, F.col("_below"))).otherwise(1).cast("long")
+    rows = rows.withColumn("_share", share)
+    # the order within an id: by hash where it has several parts, then by text
+    rows = rows.withColumn("_h", F.when(F.col("_share") > 1, F.pmod(F.xxhash64("text"), F.lit(1 << 31))).otherwise(0))
+    part = (F.coalesce("_below", F.lit(-nulls)) + F.floor(F.col("_h") * F.col("_share") / (1 << 31))).cast("int")
+    rows = rows.select("doc_id", "text", "_h", part.alias("_part"))
+    place = F.struct("doc_id", "_h")  # nulls are least
+    heads = sorted(((r[0], *r[1]) for r in rows.groupBy("_part").agg(F.max(place)).collect()), key=lambda r: r[0])
+    size = nulls + max(p for p, _, _ in heads) + 1
+    tops, hashes, goes = [None] * size, [None] * size, [None] * size
+    for k, (p, top, h) in enumerate(heads):
+        # descending ids: the part above comes before
+        tops[p + nulls], hashes[p + nulls], goes[p + nulls] = top, h, heads[(k + 1) % len(heads)][0]
+    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part") + nulls)
+    first = F.when(at(tops, "long").eqNullSafe(F.col("doc_id")) & (at(hashes, "long") == F.col("_h")), at(goes, "int"))
     both = F.when(first.isNull(), F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("g")))).otherwise(
         F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("g")), F.struct(first.alias("p"), F.lit(True).alias("g")))
     )
-    rows = rows.select("doc_id", "text", F.explode(both).alias("_to")).select("doc_id", "text", F.col("_to.p").alias("_part"), F.col("_to.g").alias("_ghost"))
-    return rows.repartition("_part").sortWithinPartitions("_part", "_ghost", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    rows = rows.select("doc_id", "text", "_h", F.explode(both).alias("_to")).select("doc_id", "text", "_h", F.col("_to.p").alias("_part"), F.col("_to.g").alias("_ghost"))
+    rows = rows.repartition("_part").sortWithinPartitions("_part", "_ghost", F.desc_nulls_last("doc_id"), F.desc("_h"), F.asc_nulls_first("text"))
+    return rows.select("doc_id", "text", "_part", "_ghost")
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
