@@ -48,7 +48,7 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0), url_filter.RULES).count() == 0
 
 
-def test_url_trie_and_join_against_brute_force(spark):
+def test_url_trie_and_join_against_brute_force(spark, monkeypatch):
     r = random.Random(2)
     label, part = lambda: r.choice("abc"), lambda: r.choice(["x", "y", "xy", ""])
     rules = [(".".join(label() for _ in range(r.randint(1, 3))), "/" + "/".join(part() for _ in range(r.randint(0, 3))), r.choice(["allow", "block"])) for _ in range(60)]
@@ -67,6 +67,15 @@ def test_url_trie_and_join_against_brute_force(spark):
     table = spark.createDataFrame(rules, "rule_host string, rule_path string, action string")
     for got in (url_filter.judge(df, rules), url_filter.judge_table(df, table), url_filter.by_join(df, table)):
         assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()} == want
+    # keys of many rows are spread; rules with nulls are none; repeated, null and very long urls
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    long = "http://a.b/" + "x/" * 2000
+    more = [(1000, None), (1001, long), *[(2000 + i, f"http://{hosts[0][0]}{hosts[0][1]}") for i in range(40)]]
+    df = df.union(spark.createDataFrame(more, "page_id long, url string"))
+    want |= {1000: (None, "allow"), 1001: brute("a.b", "/" + "x/" * 2000)} | {2000 + i: want[0] for i in range(40)}
+    table = table.union(spark.createDataFrame([(None, "/", "block"), ("a", None, "block"), ("a", "/", None)], table.schema))
+    for got in (url_filter.judge(df, [tuple(x) for x in table.collect()]), url_filter.judge_table(df, table), url_filter.by_join(df, table)):
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()} == want and got.count() == df.count()
 
 
 # decontamination
@@ -271,6 +280,26 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(repeated).count() == 3
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_hot_id_is_spread(spark, hot):
+    """Half of the rows have one id: they fill several parts, and the chain of next documents holds all rows once."""
+    rows = [(i, f"text {i} " + "z" * (i % 7)) for i in range(200)] + [(hot, f"hot {i}") for i in range(200)] + [(hot, "hot 3")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string").repartition(5)
+    placed = fingerprint.with_next(df, 16).collect()
+    own = [r for r in placed if not r["_ghost"]]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in own) == sorted((i is None, i or 0, t) for i, t in rows)
+    sizes = collections.Counter(r["_part"] for r in own)
+    assert max(sizes.values()) < 80 and len({r["_part"] for r in own if r["doc_id"] == hot}) > 4
+    chain = [(r["doc_id"], r["text"]) for p in sorted(sizes, reverse=True) for r in placed if r["_part"] == p and not r["_ghost"]]
+    assert [i for i, _ in chain] == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+    got = fingerprint.fingerprints(df.coalesce(1)).collect()
+    assert len(got) == len(rows) and collections.Counter(r["n_chars"] for r in got) == collections.Counter(len(t) for _, t in rows)
+    at = {p: k for k, p in enumerate(sorted(sizes, reverse=True))}
+    for p, k in at.items():  # each part ends with the row that follows it
+        follows = [q for q, j in at.items() if j == (k + 1) % len(at)][0]
+        assert next(r["text"] for r in placed if r["_part"] == p and r["_ghost"]) == next(r["text"] for r in placed if r["_part"] == follows and not r["_ghost"])
+
+
 # chat formatting
 
 

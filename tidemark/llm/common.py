@@ -73,6 +73,29 @@ def crc_mod(key, m: int):
     return F.crc32(key.cast("string")) % m
 
 
+#: The rows of one key that a join leaves in one task, unless a ten-thousandth of all rows are more.
+HOT_ROWS = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An inner or left join of tables where a key may hold any share of left's rows; right has few rows a key.
+
+    Keys of more than `HOT_ROWS` rows (and a ten-thousandth of all, so at most 10,000 keys, which are broadcast) are
+    spread over shares by a hash of left's row; right's rows of these keys are copied to each share.
+    """
+    spark = left.sparkSession
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    counts = Scratch(spark, "spread").table(counts.where(F.col("_n") > HOT_ROWS))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    if not total:
+        return left.join(right, on, how)
+    most = max(HOT_ROWS, total // 10_000)
+    hot = F.broadcast(counts.where(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / most).cast("int").alias("_shares")))
+    one = left.join(hot, on, "left").withColumn("_share", F.pmod(F.xxhash64(*left.columns), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    two = right.join(hot, on, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return one.join(two, [*on, "_share"], how).drop("_share")
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished plans: they go when the driver's garbage is collected, which takes more than one turn."""
     for _ in range(3):

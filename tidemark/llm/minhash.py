@@ -69,7 +69,8 @@ def table_keys(h: np.ndarray, first: np.ndarray, groups: int = GROUPS, rows: int
 
 KEY_SCHEMA = "doc_id long, n_shingles long, sig_a long, sig_b long, keys array<long>"
 SET_SCHEMA = "doc_id long, shingles binary"
-#: Bits of the filter that says which documents' full sets are fetched; a fixed bound, so more documents only make it less sharp.
+#: Bits of the filter that says which documents' full sets are fetched; a fixed bound, so more documents only make it less sharp: of the other
+#: documents it lets through 0.4 % at a million candidates, 21 % at five and 58 % at ten million; their sets are written, and meet no pair.
 FILTER_BITS = 1 << 24
 #: The documents of a shingle that meet in one block of its pairs.
 BLOCK = 1000

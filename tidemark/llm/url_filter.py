@@ -2,7 +2,7 @@
 
 A rule is (host, path, action). It fits the host itself and every subdomain, if the url's path starts with the rule's
 path. Specificity is the number of host labels, then the length of the path; equal rules: block wins. The trie is
-broadcast only after its size was measured; beyond the bound the same node keys are joined (`by_join`).
+broadcast only after its size was measured; beyond the bound the same node keys are joined (`by_join`). A rule with a null is no rule.
 
 Null urls, and those without "://", have an empty host and path and fit no rule. An empty url table gives an empty
 result; repeated rows are judged alike; other columns pass through, columns named host, path, rule or verdict are
@@ -65,7 +65,6 @@ class Trie:
             if (node := node.get(label)) is None:
                 break
             depths.append(node)
-        segments = path.split("/")
         for node in reversed(depths):  # the longest host first
             node = node.get(("/",))
             at = 0
@@ -75,8 +74,6 @@ class Trie:
                     rest = path[at:]
                     for k in sorted((k for k in ends if rest.startswith(k)), key=len)[-1:]:
                         found = ends[k]
-                if not segments[0:] or at > len(path):
-                    break
                 cut = path.find("/", at)
                 if cut < 0:
                     break
@@ -88,7 +85,7 @@ class Trie:
 
 def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to a table with a url column; rules are a bounded list on the driver."""
-    rules = list(rules)
+    rules = [r for r in rules if None not in r]
     if sum(len(h) + len(p) + len(a) + 200 for h, p, a in rules) > common.BROADCAST_BYTES:
         return by_join(urls, urls.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, action string"), default)
     trie = urls.sparkSession.sparkContext.broadcast(Trie(rules))
@@ -104,6 +101,7 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str, str]], default: str =
 
 def judge_table(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """As judge, with the rules in a table (rule_host, rule_path, action): its measured size picks the way."""
+    rules = rules.where("rule_host is not null and rule_path is not null and action is not null")
     n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule_host") + F.length("rule_path") + 210), F.lit(0))).first()
     if size > common.BROADCAST_BYTES:
         return by_join(urls, rules, default)
@@ -116,8 +114,12 @@ def _named(urls: DataFrame) -> DataFrame:
 
 
 def by_join(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """The same decision without a broadcast: trie node keys of distinct (host, path) pairs are joined with the rules'."""
+    """The same decision without a broadcast: trie node keys of distinct (host, path) pairs are joined with the rules'.
+
+    Every url has the nodes of its top-level domain, so both joins spread the keys that hold many rows.
+    """
     node = lambda host, path: F.concat_ws("\n", host, F.regexp_replace(path, r"[^/]*$", ""))
+    rules = rules.where("rule_host is not null and rule_path is not null and action is not null")
     rules = rules.withColumns({"_node": node("rule_host", "rule_path"), "_rest": F.regexp_extract("rule_path", r"([^/]*)$", 1)})
     rules = rules.groupBy("_node", "_rest", "rule_host", "rule_path").agg(F.max("action").alias("action"))
     named = _named(urls)
@@ -128,10 +130,11 @@ def by_join(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     paths = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
     keys = pairs.withColumn("_h", F.explode(F.array_union(hosts, F.array(F.lit(""))))).withColumn("_p", F.explode(paths))
     keys = keys.withColumn("_node", F.concat_ws("\n", "_h", "_p")).withColumn("_left", F.expr("substr(path, length(_p) + 1)"))
-    hits = keys.join(rules, "_node").where(F.expr("startswith(_left, _rest)"))
+    hits = common.spread_join(keys, rules, ["_node"]).where(F.expr("startswith(_left, _rest)"))
     order = F.struct(F.when(F.col("rule_host") == "", 0).otherwise(F.size(F.split("rule_host", r"\."))), F.length("rule_path"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("action").alias("verdict")), order).alias("_d"))
-    return named.join(best, ["host", "path"], "left").withColumns({"rule": F.col("_d.rule"), "verdict": F.coalesce("_d.verdict", F.lit(default))}).drop("_d")
+    out = common.spread_join(named, best, ["host", "path"], "left").withColumns({"rule": F.col("_d.rule"), "verdict": F.coalesce("_d.verdict", F.lit(default))}).drop("_d")
+    return out.select(*named.columns, "rule", "verdict")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
