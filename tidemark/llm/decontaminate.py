@@ -123,6 +123,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a benchmark passage; the same columns, whatever their names."""
+    added, prefix = ("n_words", "hit_spans", "hit_items"), "_own_"
+    while any(f"{prefix}{n}" in docs.columns for n in added):
+        prefix = "_" + prefix
+    inside = {c: prefix + c if c in added else c for c in docs.columns}
+    marked = mark(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()]), benchmark)
+    return marked.where(F.size("hit_spans") == 0).select(*[F.col(f"`{n}`").alias(c) for c, n in inside.items()])
+
+
 def _searcher(tables):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = tables.value
