@@ -25,8 +25,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    marked = decontaminate.mark(docs, common.read(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("hit_spans") == 0).select(*docs.columns)
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
