@@ -190,6 +190,8 @@ def test_katz_edges(spark):
     df = docs_of(spark, ["a b", "a b"]).withColumn("train", F.lit(False))
     assert {(x["n_known"], x["score"], x["base_score"]) for x in katz.score(df).collect()} == {(0, 0.0, 0.0)}
     assert katz.score(df.limit(0)).count() == 0
+    clash = docs_of(spark, ["a b", "a b", None]).withColumns({"train": F.lit(True), "score": F.lit("x"), "bucket": F.lit(1), "n_tokens": F.lit("t")})
+    assert sorted(x["n_tokens"] for x in katz.score(clash).collect()) == [1, 3, 3]
     one = katz.score(docs_of(spark, ["a a a a a a a a"]).withColumn("train", F.lit(True))).first()
     assert -100 < one["score"] < 0
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import common, queries
+from tidemark.llm import common, decontaminate, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -95,3 +95,48 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     if len(tops) <= 16:
         assert (got.padded_to == got.n_tokens).all()
     assert (got.padded_to >= got.n_tokens).all() and not got.duplicated(["bucket", "batch", "slot"]).any()
+
+
+CLASHING = "hit_spans string, n_words long, lang_pred string, score double, ambiguous boolean, _row string, _f string, spans string, kept boolean, component_id long"
+
+
+def test_stages_on_empty_null_repeated_and_clashing_rows(spark, tables):
+    """All but the last stage return the columns they get, with the values of the rows that stay; no stage stops on such rows."""
+    more = ("h", 7, "xx", 0.5, True, "r", "f", "s", False, 9)
+    said = "the quick brown fox jumps over the lazy dog while a small grey cat sleeps on the warm stone wall " * 2
+    rows = [
+        (1, said, "en", "s", len(said), *more),
+        (1, said, "en", "s", len(said), *more),
+        (2, "", "en", None, 0, *more),
+        (None, None, None, None, None, *[None] * len(more)),
+        (None, "ask me.you@site.example.org " + "z" * 40, None, None, None, *more),
+        (3, "Das ist ein ganz anderer Text über Wiesen, Felder und Wälder im Norden des Landes", "de", "t", 9, *more),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, tables)
+        if name != "packing":
+            assert got.columns == docs.columns
+        found = got.collect()
+        plain = [tuple(r[c] for c in docs.columns if c not in ("text", "n_chars")) for r in found]
+        want = [tuple(r[i] for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")) for r in rows]
+        assert all(p in want for p in plain), name
+        if name in ("decontamination", "pii", "packing"):
+            assert len(found) == len(rows)
+        if name == "near_duplicates":
+            assert sorted(str(r["doc_id"]) for r in found) == ["1", "2", "3", "None", "None"]
+        if name == "pii":
+            assert sum("[EMAIL]" in (r["text"] or "") for r in found) == 1
+        none = stage(spark, docs.limit(0), tables)
+        assert none.count() == 0, name
+
+
+def test_decontamination_of_repeated_rows_and_null_items(spark):
+    passage = " ".join(f"word{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (None, passage.upper())], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, passage), (5, passage), (6, None), (7, "")], "item_id long, text string")
+    got = decontaminate.mark(docs, items).collect()
+    assert len(got) == 5
+    for r in got:
+        hit = r["text"] not in (None, "")
+        assert r["hit_items"] == (["", "5"] if hit else []) and [tuple(s) for s in r["hit_spans"]] == ([(0, 12)] if hit else [])
