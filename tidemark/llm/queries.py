@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprint, html, katz, language, minhash, packing, pii, url_filter
+from . import chat_format, decontaminate, fill_middle, fingerprint, html, katz, language, minhash, packing, pii, ranked_search, token_count, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_pii": pii.op9_pii,
     "op10_html": html.op10_html,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_token_count": token_count.op12_token_count,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op4_packing": packing.OP4_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
     "op8_minhash": minhash.OP8_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
+    "op13_fill_middle": fill_middle.OP13_SQL,
 }
