@@ -502,6 +502,31 @@ def test_blocks():
     assert html.blocks("") == [] and html.blocks("plain <b") == [("rest", "plain")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar"><article>A <b>c</b></article><div class="sidebar">s</div></div>',
+        '<article class="post category-social"><p>A c</p></article>',
+        "<form id=x><nav>n</nav><main>A c</main><footer>f</footer></form>",
+        '<div id="page" class="menu-open"><div class="nav-menu">n</div><article>A c</article></div>',
+        '<article id="share-prices-rise">A c<div class="share-buttons">b</div></article>',
+        '<main><form action="/"><article>A c</article></form></main><div class="related-posts"><article>teaser, and a long one</article></div>',
+        '<div class="has-comments"><main><article>A c</article></main><ol class="comment depth-1"><article>a comment longer than the page</article></ol></div>',
+        '<div class="shop social-wall"><main>A c</main></div><section class="new"><article>t</article></section>',
+        '<div class="social-wall news"><article>less</article></div><main><section><article>A c</article></section></main><div class="ad">x</div>'.replace("less", "l"),
+    ],
+)
+def test_furniture_words_on_wrappers_and_articles_lose_no_article(page):
+    found = html.blocks(page)
+    assert [t for z, t in found if z == html.main_part(found)] == ["A c"]
+
+
+def test_sure_furniture_holds_no_main_part():
+    for page in ('<div class="sidebar"><article>t</article></div>', "<aside><main>t</main></aside>", '<div class="comments"><article>t</article></div>', '<article class="ad">t</article>', "<form>t</form>", '<div class="with-sidebar">t</div>'):
+        assert html.main_part(html.blocks(page)) is None and html.blocks(page) == [("furniture", "t")]
+
+
+
 def _extracted(spark, rows):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     return {x["page_id"]: (x["text"], x["n_chars"]) for x in html.extract(df.repartition(3), share=4).collect()}
