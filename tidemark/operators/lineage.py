@@ -1,18 +1,35 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""The folder that the cluster shares: cutting lineage in it, and folders for tables of one's own."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder serves only where none is set and all runs on one machine, as in local tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and (found := context._jsc.sc().getCheckpointDir()).isDefined():
+        folder = found.get()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; a temporary folder serves only where none is set and all runs on one machine, as in local tests."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

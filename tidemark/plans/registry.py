@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None, *views: str) -> Callable:
 
 
 def _load() -> None:
-    from . import catalog_queries, catalog_rules, catalog_scalars  # noqa: F401  they register themselves
+    from . import catalog_queries, catalog_rules, catalog_scalars, catalog_stored  # noqa: F401  they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
