@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lineage
+from ..sources import answers, readers
 from ..sources.snapshots import Snapshots
 from . import daily
 from . import taxonomy as T
@@ -137,3 +140,75 @@ def _(t: Tables) -> DataFrame:
     c = store["classifications"].read().select(F.col("announcement_id").alias("id"), "major_category", "sub_category", "confidence")
     f = store["extracted_fields"].read().select(F.col("announcement_id").alias("id"), "field_value")
     return a.join(c, "id", "left").join(f, "id", "left").select("announcement_id", "full_text", "processing_status", "major_category", "sub_category", "confidence", "field_value")
+
+
+STATEMENTS = readers.Endpoint("income", "ts_code string, end_date date, report_type string, revenue double", ("ts_code", "report_type"), "end_date")
+
+
+def _landed_client(folder: str) -> Callable[[str, dict], Iterator[tuple]]:
+    """A stand-in for the vendor over a landed table: it gives only what its parameters ask for, as the vendor does."""
+
+    def client(endpoint: str, parameters: dict) -> Iterator[tuple]:
+        import pyarrow.dataset as ds
+        import pyarrow.fs as fs
+
+        place, own = fs.FileSystem.from_uri(folder) if "://" in folder else (None, folder)
+        rows = ds.dataset(f"{own}/orders.parquet", filesystem=place).to_table(columns=["o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice"]).to_pylist()
+        day = lambda v: v.date() if isinstance(v, dt.datetime) else v if isinstance(v, dt.date) else dt.date.fromisoformat(str(v)[:10])
+        for r in rows:
+            row = (f"C{r['o_custkey']}", day(r["o_orderdate"]), r["o_orderstatus"], float(r["o_totalprice"]))
+            said = row[1].strftime("%Y%m%d")
+            if parameters.get("ts_code", row[0]) == row[0] and parameters.get("report_type", row[2]) == row[2] and parameters.get("start_date", said) <= said <= parameters.get("end_date", said):
+                yield row
+
+    return client
+
+
+@query(
+    "src03_pushed_filters",
+    """SELECT 'C' || o_custkey AS ts_code, o_orderdate::DATE AS end_date, o_orderstatus AS report_type, o_totalprice::DOUBLE AS revenue FROM orders
+    WHERE o_custkey IN (7, 10, 13) AND o_orderdate::DATE >= DATE '1995-06-01' AND o_orderdate::DATE < DATE '1998-01-01' AND o_orderstatus = 'O' AND o_totalprice > 1000""",
+)
+def _(t: Tables) -> DataFrame:
+    """Codes, dates and kind go to the vendor as parameters; the rest is filtered by Spark."""
+    rows = readers.vendor_table(t.spark, _landed_client(t.folder), STATEMENTS, per_minute=60_000)
+    rows = rows.where(F.col("ts_code").isin("C7", "C10", "C13") & (F.col("end_date") >= F.lit("1995-06-01").cast("date")) & (F.col("end_date") < F.lit("1998-01-01").cast("date")))
+    return rows.where((F.col("report_type") == "O") & (F.col("revenue") > 1000))
+
+
+@query(
+    "ext06_stored_answers",
+    """SELECT id, '{"title": "' || title || '"}' AS answer, length(title) AS answer_tokens FROM announcements""",
+    "announcements",
+)
+def _(t: Tables) -> DataFrame:
+    """JSON answers to all titles, asked for in two runs that overlap; each distinct title is asked once."""
+    store = answers.Answers(t.spark, lineage.new_folder(t.spark, "answers"), "model-1")
+
+    def answer(prompt: str) -> dict:
+        return {"text": json.dumps({"title": prompt}), "tokens": len(prompt)}
+
+    asked = store.fill(t.announcements.where("id % 2 = 0"), "title", answers.parsed(answer)) + store.fill(t.announcements, "title", answers.parsed(answer))
+    if asked != t.announcements.select("title").distinct().count():
+        raise AssertionError(f"{asked} calls are not one a title")
+    return store.answered(t.announcements.select("id", "title"), "title", "answer").select("id", "answer", F.col("answer_tokens"))
+
+
+@query(
+    "ext07_completions",
+    """SELECT id, CASE WHEN id % 97 % 10 <> 3 THEN 'said: ' || title END AS answer, CASE WHEN id % 97 % 10 = 3 THEN 'ValueError: no answer' END AS answer_error FROM announcements""",
+    "announcements",
+)
+def _(t: Tables) -> DataFrame:
+    """Plain completions with a generic retry: the first call of each prompt fails, and some prompts never get an answer."""
+    store = answers.Answers(t.spark, lineage.new_folder(t.spark, "answers"), "model-2")
+    tries: dict[str, int] = {}
+
+    def answer(prompt: str) -> str:
+        tries[prompt] = tries.get(prompt, 0) + 1
+        if tries[prompt] == 1 or prompt.endswith("3"):
+            raise ValueError("no answer")
+        return f"said: {prompt}"
+
+    store.fill(t.announcements, "title", answer, attempts=2, wait=lambda s: None)
+    return store.answered(t.announcements.select("id", "title"), "title", "answer").select("id", "answer", "answer_error")

@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from ..operators import report, scoring
 from ..operators.lineage import cut
 from ..sources import readers
+from ..sources.answers import Answers
+from ..sources.models import narrative_prompt
 from ..sources.snapshots import Snapshots
 from ..streaming import incremental
 from . import stages as S
+from . import taxonomy as T
 
 KEYS = {"announcements": ["announcement_id"], "classifications": ["announcement_id"], "extracted_fields": ["announcement_id", "field_name"], "scores": ["announcement_id"], "daily_reports": ["report_date", "industry_filter"], "runs": ["run_id"]}
 
@@ -108,14 +111,19 @@ def score_step(companies: DataFrame) -> Step:
     return step
 
 
-def report_step(companies: DataFrame, target: dt.date) -> Step:
-    """The day's report; its rows are reported."""
+def report_step(companies: DataFrame, target: dt.date, answers: Answers | None = None, answer: Callable[[str], str | dict] | None = None) -> Step:
+    """The day's report; its rows are reported. With a model, its strongest items get a narrative, asked for once and kept in `answers`."""
 
     def step(store: Store, number: int) -> int:
         rows = cut(report.items(store["announcements"].read(), store["scores"].read(), store["classifications"].read(), companies, target))
         day = F.lit(target).alias("report_date")
         totals = report.summary(rows, target.isoformat()).select(F.col("summary_text"), F.col("total").cast("long").alias("total_announcements"), F.col("high").cast("long").alias("high_impact_count"))
-        made = report.markdown(rows, target.isoformat()).crossJoin(totals)  # one row each
+        said = None
+        if answers is not None and answer is not None:
+            top = report.ranked(rows.where(F.abs("composite_score") >= T.HIGH_IMPACT), T.TOP_N).select("announcement_id", narrative_prompt().alias("prompt"))
+            answers.fill(top, "prompt", answer)
+            said = answers.answered(top, "prompt", "narrative").select("announcement_id", "narrative")
+        made = report.markdown(rows, target.isoformat(), said).crossJoin(totals)  # one row each
         made = made.select(day, F.lit(None).cast("string").alias("industry_filter"), F.col("text").alias("report_content"), "summary_text", "high_impact_count", "total_announcements")
         store["daily_reports"].merge(made, batch=("report", number))
         store.moved("report", number, "scored", S.mark_reported(store.in_status("scored"), rows))

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calibration import confidence
@@ -42,9 +42,14 @@ def json_answers(df: DataFrame, column: str, out: str, answer: Callable[[str], s
     return df.withColumn(out, ask(column))
 
 
+def narrative_prompt() -> Column:
+    """What a model is asked about a scored item: title, category and score."""
+    return F.format_string("%s | %s | %+.3f", F.coalesce("title", F.lit("")), F.coalesce("sub_category", F.lit("?")), "composite_score")
+
+
 def narratives(top: DataFrame, answer: Callable[[str], str]) -> DataFrame:
     """(announcement_id, narrative) for a report's few strongest items; where the model fails the narrative is null, and the report says so."""
-    text = F.format_string("%s | %s | %+.3f", F.coalesce("title", F.lit("")), F.coalesce("sub_category", F.lit("?")), "composite_score")
+    text = narrative_prompt()
 
     @F.pandas_udf("string")
     def ask(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

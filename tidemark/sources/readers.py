@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions import dates, text
 
@@ -139,7 +141,7 @@ class ListPages:
             if not data.get("list"):
                 return
             yield index, json.dumps(page, ensure_ascii=False)
-            if index >= (data.get("total_page") or -(-(data.get("total_hits") or 0) // PAGE_SIZE)):
+            if index >= (data.get("total_page") or -(-(data.get("total_hits") or 0) // (request.get("page_size") or PAGE_SIZE))):
                 return
 
     def content(self, art_code: str) -> dict:
@@ -156,7 +158,7 @@ def fetch_pages(requests: DataFrame, client: Callable[[str, dict], dict], per_mi
                 for index, payload in source.pages(dict(request)):
                     yield pd.DataFrame({"company_code": [code], "page_index": [index], "payload": [payload]})
 
-    return requests.select("company_code", "request").coalesce(1).mapInPandas(run, "company_code string, page_index long, payload string")
+    return requests.select("company_code", "request").repartition(1).mapInPandas(run, "company_code string, page_index long, payload string")
 
 
 def fetch_contents(art_codes: DataFrame, client: Callable[[str, dict], dict], per_minute: float = 30) -> DataFrame:
@@ -169,7 +171,7 @@ def fetch_contents(art_codes: DataFrame, client: Callable[[str, dict], dict], pe
                 said = source.content(code)
                 yield pd.DataFrame({"art_code": [code]} | {k: pd.Series([said.get(k)], dtype=object) for k in ("notice_content", "attach_url_web", "attach_url")})
 
-    return art_codes.select("art_code").distinct().coalesce(1).mapInPandas(run, "art_code string, notice_content string, attach_url_web string, attach_url string")
+    return art_codes.select("art_code").distinct().repartition(1).mapInPandas(run, "art_code string, notice_content string, attach_url_web string, attach_url string")
 
 
 def vendor_source(client: Callable[[str, dict], Iterable[tuple]], schema: str = "ts_code string, value string", per_minute: float = 200) -> type[DataSource]:
@@ -210,6 +212,92 @@ class VendorReader(DataSourceReader):
         yield from with_retry(call)
 
 
+@dataclass(frozen=True)
+class Endpoint:
+    """What a vendor endpoint gives and which parameters it takes: `equal` are columns of one value, `dates` the column that start_date and end_date bound."""
+
+    name: str
+    schema: str
+    equal: tuple[str, ...] = ("ts_code",)
+    dates: str | None = None
+
+
+def _said(value: object) -> str:
+    return value.strftime("%Y%m%d") if isinstance(value, dt.date) else str(value)
+
+
+class PushingReader(VendorReader):
+    """Sends what Spark filters by as the endpoint's parameters, if it has one for it; Spark filters what comes all the same.
+
+    An empty text is no parameter, as the vendor takes it for no filter. A list of values of one column is one call a value; of several
+    bounds the narrowest is sent.
+    """
+
+    def __init__(self, options: dict, client: Callable[[str, dict], Iterable[tuple]], per_minute: float, endpoint: Endpoint):
+        super().__init__(options | {"endpoint": endpoint.name}, client, per_minute)
+        self.endpoint, self.parameters, self.several = endpoint, json.loads(options.get("parameters", "{}")), None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column in self.endpoint.equal and isinstance(f, EqualTo) and f.value not in (None, ""):
+                self.parameters.setdefault(column, _said(f.value))
+            elif column in self.endpoint.equal and isinstance(f, In) and not self.several and f.value and not {None, ""} & set(f.value):
+                self.several = (column, [_said(v) for v in dict.fromkeys(f.value)])
+            elif column == self.endpoint.dates and column is not None:
+                self._bound(f)
+            yield f
+
+    def _bound(self, f: Filter) -> None:
+        whole = isinstance(getattr(f, "value", None), dt.date) and not isinstance(f.value, dt.datetime)
+        if not whole and not isinstance(getattr(f, "value", None), str) or f.value == "":
+            return
+        step = lambda n: f.value + dt.timedelta(n) if whole else f.value
+        if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+            start = _said(step(int(isinstance(f, GreaterThan))))
+            self.parameters["start_date"] = max(start, self.parameters.get("start_date", start))
+        if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+            end = _said(step(-int(isinstance(f, LessThan))))
+            self.parameters["end_date"] = min(end, self.parameters.get("end_date", end))
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        limit = RateLimit(self.per_minute)
+
+        def call(parameters: dict) -> list[tuple]:
+            limit()
+            return list(self.client(self.endpoint.name, parameters))
+
+        column, values = self.several or (None, [None])
+        for value in values:
+            if column in self.parameters and value is not None and value != self.parameters[column]:
+                continue  # it equals one value and is one of others
+            asked = self.parameters | ({column: value} if column else {})
+            yield from with_retry(lambda asked=asked: call(asked))
+
+
+def vendor_table(spark: SparkSession, client: Callable[[str, dict], Iterable[tuple]], endpoint: Endpoint, per_minute: float = 200, **parameters: object) -> DataFrame:
+    """An endpoint as a lazy table whose filters become the vendor's parameters; `parameters` that are not empty are sent besides.
+
+    It is read by one task, so that the rate limit holds, each time it is used: write what is read before using it twice.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+    class Pushing(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return f"vendor_{endpoint.name}"
+
+        def schema(self) -> str:
+            return endpoint.schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return PushingReader(dict(self.options), client, per_minute, endpoint)
+
+    spark.dataSource.register(Pushing)
+    sent = {k: _said(v) for k, v in parameters.items() if v not in (None, "")}
+    return spark.read.format(Pushing.name()).option("parameters", json.dumps(sent)).load()
+
+
 def call_out(df: DataFrame, column: str, out: str, answer: Callable[[list[str]], list[str | None]], batch: int = 16) -> DataFrame:
     """A model's answers to a text column, in order and in batches. Write the result before using it twice: a model is called once a row."""
 
