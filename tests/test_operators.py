@@ -111,6 +111,31 @@ def test_first_wins_random(spark):
     assert sorted(x["place"] for x in labelling.first_wins(df).collect()) == _sequential(rows)
 
 
+def test_first_wins_walks_components_and_splits_large_ones(spark):
+    r = random.Random(5)
+    rows = [(n, r.choice(["", f"i{r.randrange(30)}"]), f"t{r.randrange(40)}") for n in range(60)]
+    chains = [(1000 + 100 * c + n, f"c{c}-{n // 2}", f"u{c}-{(n + 1) // 2}") for c, size in enumerate((12, 5, 6, 4)) for n in range(size)]
+    df = spark.createDataFrame(rows + chains, "place int, announcement_id string, text string").repartition(3)
+    got = labelling.first_wins(df, walk=8)
+    assert sorted(x["place"] for x in got.collect()) == _sequential(rows + chains)
+    assert labelling.first_wins(df.limit(0), walk=0).count() == 0
+    parts = labelling._components(df.selectExpr("place as _o", "announcement_id as _k", "text as _t").where("place >= 1000"))
+    assert sorted(n for (n,) in parts.groupBy("_c").count().select("count").collect()) == [4, 5, 6, 12]
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """10,000 rows, each of which hangs on the one before: by rounds alone 5,000 rounds."""
+    rows = [(n, f"i{n // 2}", f"t{(n + 1) // 2}") for n in range(10_000)]
+    df = spark.createDataFrame(rows, "place int, announcement_id string, text string")
+    spark.sparkContext.setJobGroup("chain", "")
+    got = sorted(x["place"] for x in labelling.first_wins(df).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 20, jobs
+    assert got == _sequential(rows)
+
+
+
 def test_merge_counts(spark):
     schema = "announcement_id string, text string, sub_category string, major_category string, place int"
     a = spark.createDataFrame([("1", "t", "buyback", None, 0), ("1", "u", "buyback", None, 1), ("2", "", "penalty", None, 2), ("3", "v", "nonsense", None, 3)], schema)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans import taxonomy as T
-from .lineage import cut
+from .lineage import cut, stored
 from .ranking import hash_rank
 
 
@@ -39,31 +42,83 @@ def candidates(labelled: DataFrame) -> DataFrame:
     return ok.join(F.broadcast(T.events_df(labelled.sparkSession).select(F.col("sub").alias("sub_category"))), "sub_category", "left_semi")
 
 
-def first_wins(rows: DataFrame, order: str = "place") -> DataFrame:
+#: Rows that one task walks through in order, and distributed rounds before a walk.
+WALK_ROWS, ROUNDS = 200_000, 1
+
+
+def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that come first under both of their keys are kept, and all later rows of those keys go: (kept, rows still open)."""
+    by_k = rows.groupBy("_k").agg(F.min("_o").alias("_fk"))
+    by_t = rows.groupBy("_t").agg(F.min("_o").alias("_ft"))
+    sure = stored(rows.join(by_k, "_k").join(by_t, "_t").where((F.col("_o") == F.col("_fk")) & (F.col("_o") == F.col("_ft"))).select("_o", "_k", "_t"))
+    return sure, stored(rows.join(sure.select("_k"), "_k", "left_anti").join(sure.select("_t"), "_t", "left_anti").select("_o", "_k", "_t"))
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """The rows with a number of the component of keys that share rows, by contraction (large-star and small-star steps) in about a logarithm of its length."""
+    ends = rows.withColumns({"_u": F.xxhash64(F.lit("k"), "_k"), "_v": F.xxhash64(F.lit("t"), "_t")})  # equal hashes only join components, which is harmless
+    pair = lambda a, b: (F.greatest(a, b).alias("_u"), F.least(a, b).alias("_v"))
+    links, state = stored(ends.select(*pair("_u", "_v")).where("_u <> _v").distinct()), None
+    while True:
+        both = links.unionByName(links.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
+        least = both.groupBy("_u").agg(F.min("_v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
+        large = both.join(least, "_u").where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).where("_u <> _v").distinct()
+        least = large.groupBy("_u").agg(F.min("_v").alias("_m"))
+        small = large.join(least, "_u").where("_v <> _m").select(*pair("_v", "_m")).unionByName(least.select("_u", F.col("_m").alias("_v"))).distinct()
+        links = stored(small)
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(20,0)"))).first())
+        if now == state:
+            break
+        state = now
+    root = links.select("_u", F.col("_v").alias("_c"))  # a star each: every key but the least points to the least
+    return ends.join(root, "_u", "left").select("_o", "_k", "_t", F.coalesce("_c", "_u").alias("_c"))
+
+
+def _walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept rows of components that come one after the other, each in its order."""
+    component, keys, texts = None, set(), set()
+    for batch in batches:
+        keep = []
+        for c, k, t in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_c", "_k", "_t")), strict=True):
+            if c != component:
+                component, keys, texts = c, set(), set()
+            keep.append(k not in keys and t not in texts)
+            if keep[-1]:
+                keys.add(k)
+                texts.add(t)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def first_wins(rows: DataFrame, order: str = "place", walk: int = WALK_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Ordered first-wins deduplication on two keys: a row goes if its id, or its text, is that of a row kept before.
 
-    Whether a row stays depends on earlier rows only through shared ids and texts. Rows whose id and text no other row has
-    stay at once; the chains among the others are resolved in rounds: a row none of whose earlier neighbours (same id or text) is undecided is
-    kept if none of them is kept, else dropped. The earliest undecided row of each key decides in every round, so
-    nothing meets in one task and no order beyond a key's own is needed. `order` must be unique.
+    Whether a row stays depends on earlier rows only through shared ids and texts. A few distributed rounds decide all rows but those in chains (a row first under both
+    keys is kept, later rows of its keys go). Of the rest at most `walk` rows are walked through in order by one task. More are contracted into the
+    components that shared ids and texts connect; components of at most `walk` rows are walked through each by itself, the rows of larger ones
+    go through rounds again. So a chain of any length up to `walk` costs a fixed number of jobs, and no task holds more than that. `order` must be unique.
     """
     key = F.coalesce(F.nullif("announcement_id", F.lit("")), F.concat(F.lit("text:"), F.col("text")))
-    keyed = rows.withColumns({"_k": key, "_o": F.col(order)})
-    open_rows = keyed.select("_o", "_k", "text")
-    kept = None
+    keyed = rows.withColumns({"_k": F.sha2(key, 256), "_t": F.sha2("text", 256), "_o": F.col(order)})
+    left, kept = keyed.where("_k is not null and _t is not null").select("_o", "_k", "_t"), []
     while True:
-        by_k = open_rows.groupBy("_k").agg(F.min("_o").alias("_fk"))
-        by_t = open_rows.groupBy("text").agg(F.min("_o").alias("_ft"))
-        # a row that comes first under both of its keys is kept; all later rows of those keys go
-        sure = open_rows.join(by_k, "_k").join(by_t, "text").where((F.col("_o") == F.col("_fk")) & (F.col("_o") == F.col("_ft"))).select("_o", "_k", "text")
-        sure = cut(sure)
-        kept = sure if kept is None else kept.unionByName(sure)
-        left = open_rows.join(sure.select("_k"), "_k", "left_anti").join(sure.select("text"), "text", "left_anti").select("_o", "_k", "text")
-        left = cut(left)
-        if left.limit(1).count() == 0:
+        for _ in range(rounds):
+            sure, left = _round(left)
+            kept.append(sure.select("_o"))
+        n = left.count()
+        if n <= walk:
+            dealt = left.withColumn("_c", F.lit(0).cast("long")).repartition(1).sortWithinPartitions("_o") if n else None
+            larger = None
+        else:
+            parts = stored(_components(left))
+            sizes = parts.groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") > walk).select("_c")
+            larger = stored(parts.join(sizes, "_c", "left_semi").select("_o", "_k", "_t"))
+            dealt = parts.join(sizes, "_c", "left_anti").select("_o", "_k", "_t", "_c").repartition("_c").sortWithinPartitions("_c", "_o")
+        if dealt is not None:
+            kept.append(stored(dealt.mapInArrow(_walked, dealt.schema).select("_o")))
+        if larger is None or larger.isEmpty():
             break
-        open_rows = left
-    return keyed.join(kept.select("_o"), "_o", "left_semi").drop("_k", "_o")
+        left = larger
+    return keyed.join(functools.reduce(DataFrame.unionByName, kept), "_o", "left_semi").drop("_k", "_t", "_o")
 
 
 def merge(inputs: list[DataFrame]) -> tuple[DataFrame, dict[str, int]]:
