@@ -93,3 +93,20 @@ def test_dates(each, one):
 
 def test_short_code(each):
     assert each(text.short_code, ["000001.SZ", "600000.SH", "1", None]) == ["000001", "600000", "1", None]
+
+
+def test_fixed_formats_equal_python_s(spark):
+    import random
+    import struct
+
+    r = random.Random(8)
+    values = [0.0, -0.0, 0.0625, 0.125, -0.0625, 0.5, 1.5, 2.5, -0.0004, 0.0005, 1e-320, 999.9995, 2.0**53 + 2, 2.0**62, -(2.0**63), 1.2345678901234567e20, -3.3e33, 8.4e37, float("nan"), float("inf"), float("-inf")]
+    values += [r.uniform(-2, 2) for _ in range(4000)] + [r.randrange(-(1 << 20), 1 << 20) / 2 ** r.randrange(1, 30) for _ in range(4000)] + [r.choice((1, -1)) * 10 ** r.uniform(-12, 37.9) for _ in range(1500)]
+    values += [v for v in (struct.unpack("d", r.randbytes(8))[0] for _ in range(1500)) if abs(v) < 2.0**126]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = df.select("i", numbers.fixed(F.col("v"), 3, plus=True).alias("a"), numbers.fixed(F.col("v"), 2).alias("b"), numbers.fixed(F.col("v"), 4, separators=True).alias("c"), numbers.fixed(F.col("v"), 0).alias("d")).collect()
+    assert len(got) > 10_000
+    for x in got:
+        v = values[x["i"]]
+        assert (x["a"], x["b"], x["c"], x["d"]) == (f"{v:+.3f}", f"{v:.2f}", f"{v:,.4f}", f"{v:.0f}"), v
+    assert spark.range(1).select(numbers.fixed(F.lit(None).cast("double"), 2).alias("v")).first()["v"] is None

@@ -48,10 +48,49 @@ def clamp(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
 
+def _product(a: Column, b: float) -> tuple[Column, Column]:
+    """a * b as a double and the exact error of it, by splitting both factors in halves."""
+    p = a * b
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))  # noqa: E731  2**27 + 1
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def fixed(x: Column, digits: int, plus: bool = False, separators: bool = False) -> Column:
+    """A double's exact value with so many decimals (15 at most), ties to even (0.0625 is 0.062), with a plus sign or thousands separators if wanted.
+
+    Null stays null; not-a-number and infinities are nan and inf; minus zero and what rounds to it keep the sign. Exact below 2**126 (beyond, digits
+    after the seventeenth are zeros). `format_string`, `format_number` and `round` work on the shortest decimal text, which rounds 0.0625 or 0.0005 otherwise.
+    """
+    if not 0 <= digits <= 15:
+        raise ValueError("0 to 15 decimals")
+    x = x.cast("double")
+    size, two53, two63 = F.abs(x), float(1 << 53), float(1 << 63)
+    # Below 2**53: the whole part and the rest, which is scaled with its error, so that it can be told from a tie.
+    whole = F.floor(F.when(size < two53, size))
+    p, error = _product(size - whole.cast("double"), float(10**digits))
+    c = F.floor(p)
+    over = p - c.cast("double") - 0.5
+    odd = (c if digits else whole) % 2 == 1
+    r = c + F.when((over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd))), 1).otherwise(0)
+    carried = r == 10**digits
+    text = F.format_number(whole + F.when(carried, 1).otherwise(0), 0)
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad(F.when(carried, 0).otherwise(r).cast("string"), digits, "0"))
+    # Beyond it a double is whole: as one or two integers it keeps all its digits.
+    high = F.floor(F.when((size >= two63) & (size < two63 * two63), size) / two63)
+    parts = high.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + (size - high.cast("double") * two63).try_cast("long").cast("decimal(19,0)")
+    text = F.when(size < two53, text).when(size < two63, F.format_number(F.when(size < two63, size).try_cast("long"), digits)).when(size < two63 * two63, F.format_number(parts, digits)).otherwise(F.format_number(size, digits))
+    text = text if separators else F.replace(text, F.lit(","), F.lit(""))
+    negative = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
+    text = F.when(F.isnan(x), "nan").when(size == float("inf"), "inf").otherwise(text)
+    return F.concat(F.when(negative & ~F.isnan(x), "-").otherwise("+" if plus else ""), text)
+
+
 def format_value(value: Column, kind: Column) -> Column:
     """A field value for display: whole numbers with separators, others with up to four decimals, texts as they are."""
     v = value_as_float(value)
-    shown = F.when(v == F.floor(v), F.format_number(v, 0)).otherwise(F.regexp_replace(F.format_number(v, 4), r"\.?0+$", ""))
+    shown = F.when(v == F.floor(v), fixed(v, 0, separators=True)).otherwise(F.regexp_replace(fixed(v, 4, separators=True), r"\.?0+$", ""))
     return F.coalesce(F.when((kind == "numeric") & v.isNotNull(), shown), value, F.lit(""))
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..plans import taxonomy as T
 from .stats import report_totals
 
 TABLE_ROWS = 20
 # The texts and formats of the report.
 QUIET = "%s 共处理 %d 条公告，无高影响事件。"
-LOUD = "%s 共处理 %d 条公告，其中 %d 条高影响事件。 最高评分: %s... (综合: %+.3f)"
+LOUD = "%s 共处理 %d 条公告，其中 %d 条高影响事件。 最高评分: %s... (综合: %s)"
 HEAD = "# 公告事件驱动分析日报\n**日期**: %s\n\n---\n\n## 一、执行摘要\n\n- **公告总数**: %d\n- **高影响事件**: %d (阈值 |score| ≥ %s)\n- **利好信号**: %d | **利空信号**: %d | **中性**: %d\n"
-ROW = "| %s(%s) | %s | %s | %s | %+.2f | %.2f | %.2f | %.2f | **%+.3f** |"
+ROW = "| %s(%s) | %s | %s | %s | %s | %s | %s | %s | **%s** |"
 COUNT = "- **%s**: %d 条"
-DEEP = "### %d. %s — %s\n\n- **综合评分**: %+.3f\n\n> %s\n"
+DEEP = "### %d. %s — %s\n\n- **综合评分**: %s\n\n> %s\n"
 UNTITLED = "(无标题)"
 UNSAID = "*(AI 分析暂不可用)*"
 TABLE = "| 股票 | 行业 | 公告标题 | 分类 | 方向 | 强度 | 意外度 | 可信度 | 综合评分 |\n|------|------|---------|------|------|------|--------|--------|----------|\n"
@@ -69,7 +70,7 @@ def summary(rows: DataFrame, report_date: str, threshold: float = T.HIGH_IMPACT)
         F.max_by(F.struct("title", "composite_score"), F.when(strong, F.struct(F.abs("composite_score"), -F.col("announcement_id")))).alias("top"),
     )
     text = F.when(F.col("high") == 0, F.format_string(QUIET, F.lit(report_date), "total")).otherwise(
-        F.format_string(LOUD, F.lit(report_date), "total", "high", F.substring("top.title", 1, 30), "top.composite_score")
+        F.format_string(LOUD, F.lit(report_date), "total", "high", F.substring(F.coalesce("top.title", F.lit("")), 1, 30), fixed(F.col("top.composite_score"), 3, plus=True))
     )
     return one.select("total", "high", text.alias("summary_text"))
 
@@ -93,7 +94,8 @@ def markdown(rows: DataFrame, report_date: str, narratives: DataFrame | None = N
     q = lambda c: F.coalesce(F.col(c), F.lit("?"))
     row = F.format_string(
         ROW, q("stock_name"), q("stock_code"), F.coalesce(F.nullif("industry", F.lit("")), F.lit("?")),
-        F.substring(F.coalesce("title", F.lit("")), 1, 30), q("sub_category"), "direction", "magnitude", "surprise", "credibility", "composite_score",
+        F.substring(F.coalesce("title", F.lit("")), 1, 30), q("sub_category"), fixed(F.col("direction"), 2, plus=True), fixed(F.col("magnitude"), 2), fixed(F.col("surprise"), 2), fixed(F.col("credibility"), 2),
+        fixed(F.col("composite_score"), 3, plus=True),
     )
     table = _lines(ranked(strong, TABLE_ROWS), row, [F.col("place")])
     cats = _lines(categories(rows), F.format_string(COUNT, "category", "n"), [F.desc("n"), F.col("category")])
@@ -101,7 +103,7 @@ def markdown(rows: DataFrame, report_date: str, narratives: DataFrame | None = N
     deep = ranked(strong, top)
     deep = deep.join(narratives, "announcement_id", "left") if narratives is not None else deep.withColumn("narrative", F.lit(None).cast("string"))
     said = F.format_string(
-        DEEP, "place", q("stock_name"), F.coalesce("title", F.lit(UNTITLED)), "composite_score", F.coalesce("narrative", F.lit(UNSAID))
+        DEEP, "place", q("stock_name"), F.coalesce("title", F.lit(UNTITLED)), fixed(F.col("composite_score"), 3, plus=True), F.coalesce("narrative", F.lit(UNSAID))
     )
     deep = _lines(deep, said, [F.col("place")])
     parts = [

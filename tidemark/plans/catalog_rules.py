@@ -373,12 +373,40 @@ def _(t: Tables) -> DataFrame:
     return t.spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
 
 
-@query("rpt02_summary", f"SELECT count(*) AS total, count(*) FILTER (abs(composite_score) >= 0.5::DOUBLE) AS high FROM {_ITEMS}", *_ITEM_VIEWS)
+@query(
+    "rpt02_summary",
+    f"""SELECT count(*) AS total, count(*) FILTER (abs(composite_score) >= 0.5::DOUBLE) AS high,
+    CASE WHEN count(*) FILTER (abs(composite_score) >= 0.5::DOUBLE) = 0 THEN '1996-06-30 共处理 ' || count(*) || ' 条公告，无高影响事件。'
+      ELSE '1996-06-30 共处理 ' || count(*) || ' 条公告，其中 ' || count(*) FILTER (abs(composite_score) >= 0.5::DOUBLE) || ' 条高影响事件。 最高评分: '
+        || (SELECT substr(title, 1, 30) || '... (综合: ' || format('{{:+.3f}}', composite_score) FROM {_ITEMS} ORDER BY abs(composite_score) DESC, announcement_id LIMIT 1) || ')' END AS summary_text FROM {_ITEMS}""",
+    *_ITEM_VIEWS,
+)
 def _(t: Tables) -> DataFrame:
-    return report.summary(_items(t), "1996-06-30").select("total", "high")
+    return report.summary(_items(t), "1996-06-30").select("total", "high", "summary_text")
+
 
+_GROUP_LIST = ", ".join(f"'{i}': '{g}'" for i, g in T.industries())
 
-@query("rpt01_markdown")
+
+@query(
+    "rpt01_markdown",
+    f"""WITH one AS (SELECT 1), its AS (SELECT *, coalesce(nullif(industry_group, ''), (MAP {{{_GROUP_LIST}}})[industry], '{T.DEFAULT_GROUP}') AS grp FROM {_ITEMS}),
+    strong AS (SELECT *, row_number() OVER (ORDER BY abs(composite_score) DESC, announcement_id) AS place FROM its WHERE abs(composite_score) >= 0.5::DOUBLE),
+    head AS (SELECT '# 公告事件驱动分析日报' || chr(10) || '**日期**: 1996-06-30' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 一、执行摘要' || chr(10) || chr(10) || '- **公告总数**: ' || count(*) || chr(10)
+      || '- **高影响事件**: ' || count(*) FILTER (abs(composite_score) >= 0.5::DOUBLE) || ' (阈值 |score| ≥ 0.5)' || chr(10) || '- **利好信号**: ' || count(*) FILTER (composite_score > 0.1::DOUBLE)
+      || ' | **利空信号**: ' || count(*) FILTER (composite_score < -0.1::DOUBLE) || ' | **中性**: ' || count(*) - count(*) FILTER (composite_score > 0.1::DOUBLE) - count(*) FILTER (composite_score < -0.1::DOUBLE) || chr(10) AS x FROM its),
+    rows_ AS (SELECT string_agg('| ' || coalesce(stock_name, '?') || '(' || coalesce(stock_code, '?') || ') | ' || coalesce(nullif(industry, ''), '?') || ' | ' || substr(coalesce(title, ''), 1, 30) || ' | ' || coalesce(sub_category, '?')
+      || format(' | {{:+.2f}} | {{:.2f}} | {{:.2f}} | {{:.2f}} | **{{:+.3f}}** |', direction, magnitude, surprise, credibility, composite_score), chr(10) ORDER BY place) AS x FROM strong WHERE place <= 20),
+    cats AS (SELECT string_agg('- **' || k || '**: ' || n || ' 条', chr(10) ORDER BY n DESC, k) AS x FROM (SELECT concat_ws('-', major_category, sub_category) AS k, count(*) AS n FROM its WHERE sub_category IS NOT NULL GROUP BY k)),
+    groups AS (SELECT string_agg('- **' || grp || '**: ' || n || ' 条', chr(10) ORDER BY n DESC, grp) AS x FROM (SELECT grp, count(*) AS n FROM its GROUP BY grp)),
+    deep AS (SELECT string_agg('### ' || place || '. ' || coalesce(stock_name, '?') || ' — ' || coalesce(title, '(无标题)') || chr(10) || chr(10) || '- **综合评分**: ' || format('{{:+.3f}}', composite_score) || chr(10) || chr(10)
+      || '> *(AI 分析暂不可用)*' || chr(10), chr(10) ORDER BY place) AS x FROM strong WHERE place <= 10)
+    SELECT head.x || chr(10) || '## 二、高影响事件' || chr(10) || chr(10)
+      || coalesce('| 股票 | 行业 | 公告标题 | 分类 | 方向 | 强度 | 意外度 | 可信度 | 综合评分 |' || chr(10) || '|------|------|---------|------|------|------|--------|--------|----------|' || chr(10) || rows_.x, '*今日无高影响事件*') || chr(10) || chr(10)
+      || '## 三、分类分布' || chr(10) || chr(10) || coalesce(cats.x, '') || chr(10) || chr(10) || '## 四、行业分布' || chr(10) || chr(10) || coalesce(groups.x, '') || chr(10) || chr(10) || coalesce('## 五、深度分析' || chr(10) || chr(10) || deep.x, '') AS text
+    FROM head, rows_, cats, groups, deep""",
+    *_ITEM_VIEWS,
+)
 def _(t: Tables) -> DataFrame:
     return report.markdown(_items(t), "1996-06-30")
 

@@ -378,10 +378,16 @@ def _(t: Tables) -> DataFrame:
     return readers.vendor_rows(t.raw("supplier").select("s_suppkey", "s_name", "s_nationkey"), s_nationkey=3).select("s_suppkey", "s_name")
 
 
-@query("sc23_signed_scores", "SELECT announcement_id, CASE WHEN direction < 0 THEN '-' ELSE '+' END AS sign, abs(direction) >= 1 AS whole FROM scores", "scores")
-def _(t: Tables) -> DataFrame:
-    said = F.format_string("%+.3f", "direction")
-    return t.scores.select("announcement_id", F.substring(said, 1, 1).alias("sign"), (F.abs("direction") >= 1).alias("whole"))
+@query(
+    "sc23_signed_scores",
+    """SELECT announcement_id, format('{:+.3f}', composite_score) AS composite, format('{:+.2f}', direction) AS direction, format('{:.2f}', magnitude) AS magnitude, format('{:.0f}%', confidence * 100) AS confidence
+    FROM scores LEFT JOIN classifications USING (announcement_id)""",
+    "scores", "classifications",
+)
+def _(t: Tables) -> DataFrame:
+    df = t.scores.join(t.classifications.select("announcement_id", "confidence"), "announcement_id", "left")
+    show = lambda c, n, plus=False: numbers.fixed(F.col(c), n, plus)
+    return df.select("announcement_id", show("composite_score", 3, True).alias("composite"), show("direction", 2, True).alias("direction"), show("magnitude", 2).alias("magnitude"), F.concat(numbers.fixed(F.col("confidence") * 100, 0), F.lit("%")).alias("confidence"))
 
 
 @query(

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..operators.calibration import confidence
 from .readers import with_retry
 
@@ -44,7 +45,7 @@ def json_answers(df: DataFrame, column: str, out: str, answer: Callable[[str], s
 
 def narrative_prompt() -> Column:
     """What a model is asked about a scored item: title, category and score."""
-    return F.format_string("%s | %s | %+.3f", F.coalesce("title", F.lit("")), F.coalesce("sub_category", F.lit("?")), "composite_score")
+    return F.concat_ws(" | ", F.coalesce("title", F.lit("")), F.coalesce("sub_category", F.lit("?")), fixed(F.col("composite_score"), 3, plus=True))
 
 
 def narratives(top: DataFrame, answer: Callable[[str], str]) -> DataFrame:
