@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,42 @@ def clamp(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
 
-def _product(a: Column, b: float) -> tuple[Column, Column]:
-    """a * b as a double and the exact error of it, by splitting both factors in halves."""
-    p = a * b
-    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))  # noqa: E731  2**27 + 1
-    (ah, al), (bh, bl) = halves(a), halves(b)
-    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result(value) with the value computed once and not repeated in the plan, whose compiled form would grow too long."""
+    return F.element_at(F.transform(F.array(value), result), 1)
+
+
+def _product(a: Column, b: float) -> Column:
+    """a * b as a double, the exact error of it by splitting both factors in halves, and the floor."""
+    splitter = float((1 << 27) + 1)
+    bh = b * splitter - (b * splitter - b)
+    bl = b - bh
+
+    def halves(ah: Column) -> Column:
+        return _let(F.struct((a * b).alias("p"), (a - ah).alias("al")), lambda t: F.struct(
+            t["p"].alias("p"), (((ah * bh - t["p"]) + ah * bl + t["al"] * bh) + t["al"] * bl).alias("error"), F.floor(t["p"]).alias("floor")
+        ))
+
+    return _let(a * splitter - (a * splitter - a), halves)
+
+
+def _rounded(size: Column, digits: int) -> Column:
+    """A double from 0 up to 2**53 with so many decimals."""
+
+    def place(whole: Column) -> Column:
+        def near(t: Column) -> Column:
+            over = t["p"] - t["floor"].cast("double") - 0.5
+            odd = (t["floor"] if digits else whole) % 2 == 1
+            return t["floor"] + F.when((over > 0) | ((over == 0) & ((t["error"] > 0) | ((t["error"] == 0) & odd))), 1).otherwise(0)
+
+        def shown(r: Column) -> Column:
+            up = r == 10**digits
+            text = F.format_number(whole + F.when(up, 1).otherwise(0), 0)
+            return F.concat(text, F.lit("."), F.lpad(F.when(up, 0).otherwise(r).cast("string"), digits, "0")) if digits else text
+
+        return _let(_let(_product(size - whole.cast("double"), float(10**digits)), near), shown)
+
+    return _let(F.floor(size), place)
 
 
 def fixed(x: Column, digits: int, plus: bool = False, separators: bool = False) -> Column:
@@ -64,27 +96,21 @@ def fixed(x: Column, digits: int, plus: bool = False, separators: bool = False)
     """
     if not 0 <= digits <= 15:
         raise ValueError("0 to 15 decimals")
-    x = x.cast("double")
-    size, two53, two63 = F.abs(x), float(1 << 53), float(1 << 63)
-    # Below 2**53: the whole part and the rest, which is scaled with its error, so that it can be told from a tie.
-    whole = F.floor(F.when(size < two53, size))
-    p, error = _product(size - whole.cast("double"), float(10**digits))
-    c = F.floor(p)
-    over = p - c.cast("double") - 0.5
-    odd = (c if digits else whole) % 2 == 1
-    r = c + F.when((over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd))), 1).otherwise(0)
-    carried = r == 10**digits
-    text = F.format_number(whole + F.when(carried, 1).otherwise(0), 0)
-    if digits:
-        text = F.concat(text, F.lit("."), F.lpad(F.when(carried, 0).otherwise(r).cast("string"), digits, "0"))
-    # Beyond it a double is whole: as one or two integers it keeps all its digits.
-    high = F.floor(F.when((size >= two63) & (size < two63 * two63), size) / two63)
-    parts = high.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + (size - high.cast("double") * two63).try_cast("long").cast("decimal(19,0)")
-    text = F.when(size < two53, text).when(size < two63, F.format_number(F.when(size < two63, size).try_cast("long"), digits)).when(size < two63 * two63, F.format_number(parts, digits)).otherwise(F.format_number(size, digits))
-    text = text if separators else F.replace(text, F.lit(","), F.lit(""))
-    negative = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
-    text = F.when(F.isnan(x), "nan").when(size == float("inf"), "inf").otherwise(text)
-    return F.concat(F.when(negative & ~F.isnan(x), "-").otherwise("+" if plus else ""), text)
+    two53, two63 = float(1 << 53), float(1 << 63)
+
+    def unsigned(size: Column) -> Column:
+        # Beyond 2**53 a double is whole: as one or two integers it keeps all its digits.
+        high = F.floor(F.when((size >= two63) & (size < two63 * two63), size) / two63)
+        parts = _let(high, lambda h: h.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + (size - h.cast("double") * two63).try_cast("long").cast("decimal(19,0)"))
+        text = F.when(F.isnan(size), "nan").when(size == float("inf"), "inf").when(size < two53, _rounded(F.when(size < two53, size), digits))
+        text = text.when(size < two63, F.format_number(F.when(size < two63, size).try_cast("long"), digits)).when(size < two63 * two63, F.format_number(parts, digits)).otherwise(F.format_number(size, digits))
+        return text if separators else F.replace(text, F.lit(","), F.lit(""))
+
+    def signed(x: Column) -> Column:
+        negative = ~F.isnan(x) & ((x < 0) | ((x == 0) & x.cast("string").startswith("-")))
+        return F.concat(F.when(negative, "-").otherwise("+" if plus else ""), _let(F.abs(x), unsigned))
+
+    return _let(x.cast("double"), signed)
 
 
 def format_value(value: Column, kind: Column) -> Column:
