@@ -282,6 +282,18 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(repeated).count() == 3
 
 
+def test_fingerprints_of_repeated_ids_do_not_depend_on_settings(spark):
+    rows = [(i, f"text {i} " * 9) for i in range(300)] + [(7, f"other {k} " * 7) for k in range(40)] + [(None, "n " * 20), (None, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in ("1", "3", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(str, fingerprint.fingerprints(df).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
 @pytest.mark.parametrize("hot", [7, None])
 def test_a_hot_id_is_spread(spark, hot):
     """Half of the rows have one id: they fill several parts, and the chain of next documents holds all rows once."""

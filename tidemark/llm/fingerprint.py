@@ -7,7 +7,7 @@ hashes of its spans of `GRAM` code points (a bottom-k sketch). Likeness is 1 for
 spans the sketches estimate (0 if either has none).
 
 Null texts are read as empty; a text shorter than `GRAM` has one span, itself; the empty text has none. The next document
-is the one with the next smaller doc_id (rows of the same doc_id: by text, or by its hash where they fill several ranges); after the last
+is the one with the next smaller doc_id (rows of the same doc_id: by descending hash of the text, then by text, at every size and setting); after the last
 comes the first. A table of one row is its own next. A null doc_id comes after all others. Texts are exchanged once, by ranges of doc_id
 and, within a hot id, of its texts' hashes; only rows equal in both must meet. Repeated rows each get a row; other columns are ignored.
 """
@@ -143,8 +143,8 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), below).alias("_below"))
     share = F.when(F.col("doc_id").isNull(), nulls).when(F.get(cut, F.col("_below")) == F.col("doc_id"), F.get(own, F.col("_below"))).otherwise(1).cast("long")
     rows = rows.withColumn("_share", share)
-    # the order within an id: by hash where it has several parts, then by text
-    rows = rows.withColumn("_h", F.when(F.col("_share") > 1, F.pmod(F.xxhash64("text"), F.lit(1 << 31))).otherwise(0))
+    # the order within an id, whatever its parts: by hash, then by text
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     part = (F.coalesce("_below", F.lit(-nulls)) + F.floor(F.col("_h") * F.col("_share") / (1 << 31))).cast("int")
     rows = rows.select("doc_id", "text", "_h", part.alias("_part"))
     place = F.struct("doc_id", "_h")  # nulls are least

@@ -132,7 +132,7 @@ c{k} AS (SELECT o.j, CASE WHEN s.v // {split} < o.cost THEN s.v // {split} ELSE
   CASE WHEN s.v // {split} < o.cost THEN list_append(p.edges, b.top) ELSE o.edges END AS edges
   FROM c{k - 1} o JOIN bins b ON b.j = o.j LEFT JOIN s{k} s ON s.j = o.j LEFT JOIN c{k - 1} p ON p.j = s.v % {split})"""
     return rf"""
-WITH counts AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS n_tokens FROM documents),
+WITH counts AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
 grouped AS (SELECT n_tokens, count(*) AS n FROM counts GROUP BY n_tokens),
 bins AS MATERIALIZED (SELECT row_number() OVER w - 1 AS j, greatest(n_tokens, 1) AS top, sum(n) OVER w AS rows_to, sum(n * n_tokens) OVER w AS tokens_to
   FROM grouped WINDOW w AS (ORDER BY n_tokens)),
