@@ -533,6 +533,68 @@ def test_furniture_words_on_wrappers_and_articles_lose_no_article(page):
     assert [t for z, t in found if z == html.main_part(found)] == ["A c"]
 
 
+def host_pages():
+    """Pages of three hosts, open ones and some with a main part, of words that hosts share; blocks by page, marked as furniture or not."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(40)}"
+    runs = [[word() for _ in range(r.randint(6, 14))] for _ in range(9)]
+    pages = []
+    for i in range(45):
+        blocks = []
+        for _ in range(r.randint(1, 5)):
+            said = [w for _ in range(r.randint(1, 3)) for w in (r.choice(runs) if r.random() < 0.5 else [word() for _ in range(r.randint(1, 12))])]
+            blocks.append((r.random() < 0.2, " ".join(said)))
+        pages.append((i, f"http://h{i % 3}.org/{i}", blocks, i % 9 == 0))
+    return pages + [(100, *pages[4][1:]), (101, None, pages[5][2], False)]
+
+
+def brute_hosts(pages, run):
+    """The texts of open pages by comparing every window of every page with those of the host's other pages."""
+    host = lambda url: url.split("/")[2] if url else ""
+    streams = {i: [w for _, t in blocks for w in t.split()] for i, _, blocks, _ in pages}
+    windows = {i: {tuple(s[k : k + run]) for k in range(len(s) - run + 1)} for i, s in streams.items()}
+    out = {}
+    for i, url, blocks, main in pages:
+        if main:
+            out[i] = "the article"
+            continue
+        others = set().union(*(windows[j] for j, u, _, _ in pages if host(u) == host(url) and streams[j] != streams[i]))
+        s, gone = streams[i], set()
+        for k in range(len(s) - run + 1):
+            if tuple(s[k : k + run]) in others:
+                gone |= set(range(k, k + run))
+        at, kept = 0, []
+        for furniture, text in blocks:
+            left = [w for k, w in enumerate(text.split(), at) if k not in gone]
+            at += len(text.split())
+            if left and not furniture:
+                kept.append(" ".join(left))
+        out[i] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("share, tokens", [(250, 400_000), (4, 400_000), (250, 60)])
+def test_repeated_runs_of_hosts_against_brute_force(spark, monkeypatch, share, tokens):
+    monkeypatch.setattr(html, "TOKENS", tokens)
+    pages = host_pages()
+    page = lambda blocks, main: "".join(f"<nav>{t}</nav>" if f else f"<p>{t}</p>" for f, t in blocks) + ("<article>the article</article>" if main else "")
+    df = spark.createDataFrame([(i, u, page(b, m)) for i, u, b, m in pages], "page_id long, url string, html string").repartition(3)
+    want = brute_hosts(pages, html.RUN)
+    assert {x["page_id"]: x["text"] for x in html.extract(df, share).collect()} == want
+    assert sum(len(want[i].split()) < sum(len(t.split()) for f, t in b if not f) for i, _, b, m in pages if not m) > 20
+
+
+def test_the_suffix_array_decides_on_hosts_of_one_run(monkeypatch):
+    """Without it, nothing of a host's pages is covered: the runs that pages share would stay."""
+    pages = [p for p in host_pages() if p[1] and "h1.org" in p[1]]
+    rows = [(i, u, "h1.org", 0, [("1" if f else "0") + t for f, t in b], None, not m) for i, u, b, m in pages]
+    texts = lambda: html._finish(rows).column(2).to_pylist()
+    want = brute_hosts(pages, html.RUN)
+    assert texts() == [want[i] for i, _, _, m in pages if not m]
+    monkeypatch.setattr(html, "covered", lambda streams, run=8: [[np.zeros(len(t.split()), bool) for t in s] for s in streams])
+    assert texts() != [want[i] for i, _, _, m in pages if not m]
+
+
 def test_sure_furniture_holds_no_main_part():
     for page in ('<div class="sidebar"><article>t</article></div>', "<aside><main>t</main></aside>", '<div class="comments"><article>t</article></div>', '<article class="ad">t</article>', "<form>t</form>", '<div class="with-sidebar">t</div>'):
         assert html.main_part(html.blocks(page)) is None and html.blocks(page) == [("furniture", "t")]
