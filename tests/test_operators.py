@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -188,3 +189,31 @@ def test_runs(spark):
     broken = stages.run(["a", "b"], {"a": lambda: 1 / 0})
     assert broken.status == "failed" and broken.error_message.startswith("a:")
     assert done.row(spark).first()["status"] == "completed"
+
+
+def test_seeking_equals_offsets_at_every_page(spark):
+    r = random.Random(3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(r.randrange(9)) for _ in range(95)] + [None] * 12
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "id long, published_date date").repartition(5)
+    order = sorted(range(len(days)), key=lambda i: (days[i] is None, -(days[i] or dt.date(1, 1, 1)).toordinal(), -i))
+    starts = search.page_starts(df, 10).cache()
+    assert {x["page"]: x["id"] for x in starts.collect()} == {k + 1: order[10 * k] for k in range(11)}
+    for number in (1, 2, 9, 10, 11, 12):
+        want = order[10 * (number - 1) : 10 * number]
+        assert [x["id"] for x in search.deep_page(df, starts, number, 10).collect()] == want
+        if want:
+            assert [x["id"] for x in search.page_after(df, days[want[-1]], want[-1], 10).collect()] == order[10 * number : 10 * number + 10]
+    plan = search.page_after(df, days[order[50]], order[50], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=10" in plan
+    assert search.page_starts(df.limit(0), 10).count() == 0
+
+
+def test_seed_rows_fill_longer_names_first(spark):
+    templates = spark.createDataFrame([("a", "{n}-{n2}", "{n}+{n}"), ("a", "{n}-{n2}", "{n}+{n}"), ("b", None, "x"), (None, "t", "u")], "sub_category string, title string, body string")
+    got = {(x["sub_category"], x["i"]): x["text"] for x in labelling.seed_rows(templates, {"n": (1, 3), "n2": ["zz"]}, each=5).collect()}
+    assert len(got) == 10 and all(got["b", i] == "\nx" for i in range(5))
+    for i in range(5):
+        title, body = got["a", i].split("\n")
+        assert title.endswith("-zz") and title[0] in "123" and body[0] == body[2] and body[1] == "+"
+    again = labelling.seed_rows(templates.repartition(3), {"n2": ["zz"], "n": (1, 3)}, each=5)
+    assert {(x["sub_category"], x["i"]): x["text"] for x in again.collect()} == got

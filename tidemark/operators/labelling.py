@@ -6,7 +6,7 @@ import functools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -154,12 +154,27 @@ def template_difference(templates: DataFrame) -> DataFrame:
     return own.subtract(ev).withColumn("side", F.lit("unknown")).unionByName(ev.subtract(own).withColumn("side", F.lit("missing")))
 
 
-def seed_rows(templates: DataFrame, fillers: dict[str, list[str]], each: int = 32, seed: int = 42) -> DataFrame:
-    """`each` filled rows a sub-category: template and fillings are picked by a seeded hash of (sub-category, row)."""
-    by = templates.groupBy("sub_category").agg(F.sort_array(F.collect_list("template")).alias("_t"))
-    df = by.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    pick = lambda values, salt: F.get(values, F.pmod(F.xxhash64("sub_category", "i", F.lit(seed), F.lit(salt)), F.size(values)).cast("int"))
-    text = pick(F.col("_t"), "template")
-    for name, values in fillers.items():
-        text = F.replace(text, F.lit("{" + name + "}"), pick(F.array(*map(F.lit, values)), name))
-    return df.select("sub_category", "i", text.alias("text"))
+def seed_rows(templates: DataFrame, fillers: dict[str, list[str] | tuple[int, int]], each: int = 32, seed: int = 42) -> DataFrame:
+    """`each` filled rows of each sub-category of (sub_category, title, body): sub_category, i and text (title, line feed, body).
+
+    A filler is a list of values or a range of whole numbers; it replaces all of its placeholders `{name}` of a title or body by one draw. Longer names are filled
+    first, so that none is taken for the start of another. Template and draws come from the md5 of (seed, sub-category, row, part, name), so rows are the
+    same in every run. Rows without a sub-category are no templates; a null title or body is empty.
+    """
+    draw = lambda n, *what: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "sub_category", F.col("i").cast("string"), *map(F.lit, what)).cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+    def filled(text: Column, part: str) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        for name in sorted(fillers, key=lambda n: (-len(n), n)):
+            values = fillers[name]
+            if isinstance(values, tuple):
+                value = (draw(values[1] - values[0] + 1, part, name) + values[0]).cast("string")
+            else:
+                value = F.get(F.array(*map(F.lit, values)), draw(len(values), part, name).cast("int"))
+            text = F.replace(text, F.lit("{" + name + "}"), value)
+        return text
+
+    by = templates.where("sub_category is not null").groupBy("sub_category").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body")))).alias("_t"))
+    rows = by.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    rows = rows.withColumn("_t", F.get("_t", draw(F.size("_t"), "template").cast("int")))
+    return rows.select("sub_category", "i", F.concat(filled(F.col("_t.title"), "title"), F.lit("\n"), filled(F.col("_t.body"), "body")).alias("text"))

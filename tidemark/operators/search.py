@@ -6,9 +6,11 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import direction_label
+from .lineage import stored
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,39 @@ def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return df.orderBy(F.desc("published_date"), F.desc("id")).offset((number - 1) * size).limit(size)
 
 
+def newest_first() -> list[Column]:
+    return [F.desc_nulls_last("published_date"), F.desc_nulls_last("id")]
+
+
+def page_after(df: DataFrame, last_date: dt.date | None, last_id: int, size: int = 20, inclusive: bool = False) -> DataFrame:
+    """The page that follows the row (last_date, last_id), or begins with it: a top-k of `size` rows at any depth. Rows without a date come last."""
+    date, own = F.col("published_date"), F.col("id")
+    below = (own <= last_id) if inclusive else (own < last_id)
+    if last_date is None:
+        rest = date.isNull() & below
+    else:
+        day = F.lit(last_date)
+        rest = (date < day) | ((date == day) & below) | date.isNull()
+    return df.where(rest).orderBy(*newest_first()).limit(page_bounds(1, size)[1])
+
+
+def page_starts(df: DataFrame, size: int = 20) -> DataFrame:
+    """(page, published_date, id): the first row of every page, numbered by ranges without gathering rows. Store it, and any page is one `page_after` away."""
+    size = page_bounds(1, size)[1]
+    dealt = df.select("published_date", "id").repartitionByRange(*newest_first()).withColumn("_part", F.spark_partition_id())
+    rows = stored(dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*newest_first()))))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a range
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    at = F.col("_before") + F.col("_n") - 1
+    return rows.join(F.broadcast(before), "_part").where(at % size == 0).select((F.floor(at / size) + 1).cast("long").alias("page"), "published_date", "id")
+
+
+def deep_page(df: DataFrame, starts: DataFrame, number: int, size: int = 20) -> DataFrame:
+    """A page by its number from stored page starts; one beyond the last is empty."""
+    first = starts.where(F.col("page") == max(1, number)).first()
+    return page_after(df, first["published_date"], first["id"], size, inclusive=True) if first else df.limit(0)
+
+
 def search(announcements: DataFrame, classifications: DataFrame, scores: DataFrame, f: Filters, number: int = 1, size: int = 20) -> DataFrame:
     """A page with its direction labels: the page is cut first, then its few rows are joined with their scores."""
     rows = page(filtered(announcements, classifications, scores, f), number, size)

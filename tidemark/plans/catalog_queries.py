@@ -336,6 +336,19 @@ def _(t: Tables) -> DataFrame:
     return search.search(t.announcements, t.classifications, t.scores, Filters(keyword="urgent"), 2, 20)
 
 
+@query("ord01_next_page", f"SELECT {_A} FROM announcements ORDER BY published_date DESC, id DESC LIMIT 20 OFFSET 20", "announcements")
+def _(t: Tables) -> DataFrame:
+    """The page after the last row of the first one, by seeking."""
+    last = search.page(t.announcements).agg(F.min(F.struct("published_date", "id")).alias("l")).first()["l"]
+    return search.page_after(t.announcements, last["published_date"], last["id"]).select(*_A.split(", "))
+
+
+@query("ord01_deep_page", f"SELECT {_A} FROM announcements ORDER BY published_date DESC, id DESC LIMIT 20 OFFSET 1000", "announcements")
+def _(t: Tables) -> DataFrame:
+    """Page 51 by the stored starts of all pages."""
+    return search.deep_page(t.announcements, search.page_starts(t.announcements), 51).select(*_A.split(", "))
+
+
 @query("ord02_strongest", "SELECT announcement_id, composite_score FROM scores WHERE abs(composite_score) >= 0.5::DOUBLE ORDER BY abs(composite_score) DESC, announcement_id LIMIT 50", "scores")
 def _(t: Tables) -> DataFrame:
     return search.high_impact(t.scores).select("announcement_id", "composite_score")

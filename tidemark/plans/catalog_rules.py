@@ -249,11 +249,34 @@ def _(t: Tables) -> DataFrame:
     return d.select(*[F.round(c, 6).alias(c) if c != "hits" else F.col(c) for c in d.columns])
 
 
-@query("ml14_seed_rows", f"SELECT sub AS sub_category, 32::BIGINT AS n FROM events_dim", "events_dim")
+_FILLERS = {"co": ["甲公司", "乙公司", "丙公司"], "n": (200, 50_000), "n2": (1, 9), "pct": ["5%", "80%"]}
+
+
+def _draw(n: str, *what: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '42', sub_category, i::VARCHAR{''.join(f", '{w}'" for w in what)})), 1, 8))::BIGINT % {n})"
+
+
+def _fill_sql(part: str) -> str:
+    text = f"t.{part}"
+    for name in sorted(_FILLERS, key=lambda n: (-len(n), n)):
+        values = _FILLERS[name]
+        value = f"({_draw(str(values[1] - values[0] + 1), part, name)} + {values[0]})::VARCHAR" if isinstance(values, tuple) else f"{values}[{_draw(str(len(values)), part, name)}::INT + 1]"
+        text = f"replace({text}, '{{{name}}}', {value})"
+    return text
+
+
+@query(
+    "ml14_seed_rows",
+    f"""WITH one AS (SELECT 1), templates AS (SELECT [{", ".join(f"'{e.sub}'" for e in T.events())}][p_partkey % {len(T.events())} + 1] AS sub_category, p_name || ' {{co}}: {{n}} of {{n2}}' AS title, 'up {{pct}} ({{n}}), {{co}} ' || p_brand AS body FROM part),
+    by_sub AS (SELECT sub_category, list_sort(list(DISTINCT {{'title': title, 'body': body}})) AS ts FROM templates GROUP BY sub_category),
+    drawn AS (SELECT sub_category, i, ts[{_draw("len(ts)", "template")}::INT + 1] AS t FROM by_sub, range(32) r(i))
+    SELECT sub_category, i::INT AS i, {_fill_sql("title")} || chr(10) || {_fill_sql("body")} AS text FROM drawn""",
+)
 def _(t: Tables) -> DataFrame:
-    ev = T.events_df(t.spark)
-    templates = ev.select(F.col("sub").alias("sub_category"), F.explode(F.array(F.lit("{company} "), F.lit("notice of {company}: "))).alias("template"))
-    return labelling.seed_rows(templates, {"company": ["A", "B", "C"]}).groupBy("sub_category").agg(F.count("*").alias("n"))
+    """Templates are the rows of `part`; 32 filled rows a sub-category."""
+    sub = F.get(F.array(*[F.lit(e.sub) for e in T.events()]), (F.col("p_partkey") % len(T.events())).cast("int"))
+    templates = t.raw("part").select(sub.alias("sub_category"), F.concat("p_name", F.lit(" {co}: {n} of {n2}")).alias("title"), F.concat(F.lit("up {pct} ({n}), {co} "), "p_brand").alias("body"))
+    return labelling.seed_rows(templates, _FILLERS)
 
 
 def _fresh_companies(t: Tables) -> DataFrame:

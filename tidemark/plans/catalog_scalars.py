@@ -196,14 +196,18 @@ def _(t: Tables) -> DataFrame:
     return t.announcements.select("id", text.preprocess_title_and_body(F.col("title"), F.col("full_text")).alias("text"))
 
 
-@query("sc31_taxonomy_counts", "SELECT major, count(*) AS subs, sum(len(fields))::BIGINT AS fields FROM events_dim GROUP BY major", "events_dim")
+@query("sc31_taxonomy_counts", "SELECT e.major, count(*) AS n, count(DISTINCT e.sub) AS subs, sum(len(e.fields))::BIGINT AS fields FROM classifications c JOIN events_dim e ON e.sub = c.sub_category GROUP BY e.major", "classifications", "events_dim")
 def _(t: Tables) -> DataFrame:
-    return T.events_df(t.spark).groupBy("major").agg(F.count("*").alias("subs"), F.sum(F.size("fields")).alias("fields"))
+    """Of each major category of the taxonomy: the classified rows, their different sub-categories, and the fields they are to have."""
+    events = F.broadcast(T.events_df(t.spark).select("major", F.col("sub").alias("sub_category"), F.size("fields").alias("_n")))
+    return t.classifications.select("sub_category").join(events, "sub_category").groupBy("major").agg(F.count("*").alias("n"), F.countDistinct("sub_category").alias("subs"), F.sum("_n").alias("fields"))
 
 
-@query("sc31_group_members", "SELECT industry_group, count(*) AS n FROM groups_dim GROUP BY ALL", "groups_dim")
+@query("sc31_group_members", "SELECT g.industry_group, count(*) AS n, count(DISTINCT c.industry) AS industries FROM companies c JOIN groups_dim g ON g.industry = c.industry GROUP BY ALL", "companies", "groups_dim")
 def _(t: Tables) -> DataFrame:
-    return T.industries_df(t.spark).groupBy("industry_group").agg(F.count("*").alias("n"))
+    """Of each industry group: the companies whose industry the registry has, and their different industries."""
+    groups = F.broadcast(T.industries_df(t.spark))
+    return t.companies.select("industry").join(groups, "industry").groupBy("industry_group").agg(F.count("*").alias("n"), F.countDistinct("industry").alias("industries"))
 
 
 @query("src01_stock_list", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
