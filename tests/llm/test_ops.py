@@ -674,7 +674,7 @@ def test_kernels_against_plain_python():
 
 
 def test_all_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] and set(queries.SQL) <= set(queries.QUERIES)
 
 
 def test_tokenizer_states():
