@@ -15,13 +15,13 @@ from ..plans import taxonomy as T
 VERSION = "v1.0"
 
 
-def field_map(fields: DataFrame, order: Column, most_recent: bool = True) -> DataFrame:
+def field_map(fields: DataFrame, order: Column, most_recent: bool = True, laid_out: bool = False) -> DataFrame:
     """EAV rows (announcement_id, field_name, field_value, field_type) to one map a row's announcement; of repeated names the last by `order`.
 
-    One exchange by announcement serves both groupings, and the join that follows.
+    One exchange by announcement serves both groupings, and the join that follows; rows `laid_out` in buckets of announcements need none.
     """
     pick = F.max_by if most_recent else F.min_by
-    one = fields.repartition("announcement_id").groupBy("announcement_id", "field_name").agg(pick(F.struct("field_value", "field_type"), order).alias("f"))
+    one = (fields if laid_out else fields.repartition("announcement_id")).groupBy("announcement_id", "field_name").agg(pick(F.struct("field_value", "field_type"), order).alias("f"))
     number = F.when(F.col("f.field_type") == "numeric", value_as_float(F.col("f.field_value"))).otherwise(to_double(F.col("f.field_value")))
     bad = (F.col("f.field_type") != "numeric") & F.col("f.field_value").isNotNull() & number.isNull()
     present = F.when(F.col("f.field_type") == "numeric", number.isNotNull()).otherwise(F.col("f.field_value").isNotNull())
@@ -104,7 +104,7 @@ def score(announcements: DataFrame, classifications: DataFrame, companies: DataF
     c = classifications.select("announcement_id", "major_category", "sub_category")
     co = companies.select(F.col("id").alias("company_id"), "annual_revenue", "net_assets", F.lit(True).alias("_co"))
     ev = F.broadcast(T.events_df(spark).select(F.col("sub").alias("sub_category"), "direction_baseline", F.col("fields").alias("expected")))
-    df = a.join(c, "announcement_id", "left").join(co, "company_id", "left").join(fields, "announcement_id", "left").join(ev, "sub_category", "left")
+    df = a.join(c, "announcement_id", "left").join(fields, "announcement_id", "left").join(co, "company_id", "left").join(ev, "sub_category", "left")
     sub, base = F.coalesce("sub_category", F.lit("")), F.col("direction_baseline")
     d, d_bad = direction(sub, base)
     m, m_bad = magnitude(base, F.coalesce("_co", F.lit(False)), F.col("annual_revenue"), F.col("net_assets"))

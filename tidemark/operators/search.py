@@ -124,4 +124,4 @@ def details(announcements: DataFrame, companies: DataFrame, classifications: Dat
     co = companies.select(F.col("id").alias("company_id"), "stock_code", "stock_name", "industry")
     cl = classifications.select(F.col("announcement_id").alias("id"), "major_category", "sub_category", "confidence", "industry_group")
     sc = scores.select(F.col("announcement_id").alias("id"), "direction", "magnitude", "surprise", "credibility", "composite_score")
-    return announcements.join(co, "company_id", "left").join(cl, "id", "left").join(sc, "id", "left")
+    return announcements.join(cl, "id", "left").join(sc, "id", "left").join(co, "company_id", "left")  # one exchange by id for the first two

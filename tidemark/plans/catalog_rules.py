@@ -73,20 +73,22 @@ def _scored(t: Tables) -> DataFrame:
     return scoring.score(t.announcements, t.classifications, t.companies, t.field_map)
 
 
-def _rule(name: str, columns: str, spark_columns, where: str = "error_message IS NULL") -> None:
-    query(name, f"WITH one AS (SELECT 1){_SCORE} SELECT announcement_id, {columns} FROM scored WHERE {where}", *_SCORE_VIEWS)(
-        lambda t: _scored(t).where(where.replace("IS NULL", "is null")).select("announcement_id", *spark_columns())
-    )
+def _rule(name: str, columns: str, spark_columns) -> None:
+    query(name, f"WITH one AS (SELECT 1){_SCORE} SELECT announcement_id, {columns} FROM scored", *_SCORE_VIEWS)(lambda t: _scored(t).select("announcement_id", *spark_columns()))
+
+
+def _ok(value: str, name: str) -> str:
+    return f"CASE WHEN error_message IS NULL THEN round({value}, 8) + 0.0::DOUBLE END AS {name}"
 
 
-_r = lambda c: F.round(c, 8).alias(c)
-_rule("rul01_direction", "round(direction, 8) + 0.0::DOUBLE AS direction", lambda: [(F.round("direction", 8) + 0.0).alias("direction")])
-_rule("rul09_amount", "amount", lambda: ["amount"], "amount is not null")
-_rule("rul10_magnitude", "round(magnitude, 8) AS magnitude", lambda: [_r("magnitude")])
-_rule("rul12_surprise", "round(surprise, 8) AS surprise", lambda: [_r("surprise")])
-_rule("rul15_credibility", "round(credibility, 8) AS credibility", lambda: [_r("credibility")])
-_rule("rul16_composite", "round(direction * magnitude * surprise * credibility, 8) + 0.0::DOUBLE AS composite_score", lambda: [(F.round("composite_score", 8) + 0.0).alias("composite_score")])
-_rule("rul17_failures", "error_message, CASE WHEN error_message IS NULL THEN 'scored' ELSE 'failed' END AS processing_status", lambda: ["error_message", "processing_status"], "true")
+_r = lambda c: (F.round(c, 8) + 0.0).alias(c)
+for _name, _column, _value in (
+    ("rul01_direction", "direction", "direction"), ("rul10_magnitude", "magnitude", "magnitude"), ("rul12_surprise", "surprise", "surprise"),
+    ("rul15_credibility", "credibility", "credibility"), ("rul16_composite", "composite_score", "direction * magnitude * surprise * credibility"),
+):
+    _rule(_name, _ok(_value, _column), lambda c=_column: [_r(c)])
+_rule("rul09_amount", "amount", lambda: ["amount"])
+_rule("rul17_failures", "error_message, CASE WHEN error_message IS NULL THEN 'scored' ELSE 'failed' END AS processing_status", lambda: ["error_message", "processing_status"])
 
 
 @query("rul18_industry_of", "SELECT announcement_id, industry, industry_group FROM classifications", "classifications")

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 from collections.abc import Callable, Iterator
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lineage
+from ..operators import lineage, scoring, search, selection
 from ..sources import answers, readers
+from ..sources.keywords import KeywordTable
+from ..sources.layout import YEAR, Layout, between, buckets_for, small
 from ..sources.snapshots import Snapshots
 from . import daily
 from . import taxonomy as T
 from .bridge import Tables
-from .registry import query
+from .catalog_queries import END as END_DAY
+from .catalog_queries import START as START_DAY
+from .registry import query, query_like
 
 
 def _announcements(t: Tables) -> DataFrame:
@@ -212,3 +218,57 @@ def _(t: Tables) -> DataFrame:
 
     store.fill(t.announcements, "title", answer, attempts=2, wait=lambda s: None)
     return store.answered(t.announcements.select("id", "title"), "title", "answer").select("id", "answer", "answer_error")
+
+
+def _layout(t: Tables) -> Layout:
+    return Layout(t.spark, lineage.new_folder(t.spark, "layout"), buckets_for(t.raw("lineitem").count()))
+
+
+@query_like("flt04_laid_range", "flt04_date_range")
+def _(t: Tables) -> DataFrame:
+    """Days of a laid-out table: only the partitions of their years are read."""
+    rows = between(_layout(t).write("announcements", t.announcements, "id", "published_date"), "published_date", START_DAY, END_DAY)
+    return rows.where(F.col("processing_status") == "reported").drop(YEAR)
+
+
+@query_like("jn03_laid_details", "jn03_details")
+def _(t: Tables) -> DataFrame:
+    """Facts in the same buckets, joined without an exchange."""
+    laid = _layout(t)
+    facts = laid.write("announcements", t.announcements, "id", "published_date").drop(YEAR)
+    return search.details(facts, small(t.companies), laid.write("classifications", t.classifications, "announcement_id"), laid.write("scores", t.scores, "announcement_id"))
+
+
+@query_like("rul16_laid_composite", "rul16_composite")
+def _(t: Tables) -> DataFrame:
+    """The rules over laid-out facts and fields: grouping the fields and joining all of it needs no exchange either."""
+    laid = _layout(t)
+    facts = laid.write("announcements", t.announcements.select("id", "company_id"), "id")
+    fields = scoring.field_map(laid.write("fields", t.fields, "announcement_id"), F.col("row_order"), laid_out=True)
+    scored = scoring.score(facts, laid.write("classifications", t.classifications, "announcement_id"), small(t.companies), fields)
+    return scored.select("announcement_id", (F.round("composite_score", 8) + 0.0).alias("composite_score"))
+
+
+_KEYWORDS = ("urgent", "1_urg%notice", "TICE 9", "not specified", "5", "no such word", "%")
+
+
+@query(
+    "flt01_indexed_keywords",
+    f"""SELECT keyword, a.id, a.announcement_id, a.title, a.published_date FROM announcements a JOIN (VALUES {", ".join(f"('{k}')" for k in _KEYWORDS)}) AS k(keyword) ON a.title ILIKE '%' || keyword || '%'""",
+    "announcements",
+)
+def _(t: Tables) -> DataFrame:
+    """All announcements under every keyword that their title holds, by the index of a stored table."""
+    rows = t.announcements
+    table = KeywordTable(t.spark, lineage.new_folder(t.spark, "keywords"), rows.schema)
+    table.add(rows)
+    found = [table.search(k).select(F.lit(k).alias("keyword"), "id", "announcement_id", "title", "published_date") for k in _KEYWORDS]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query("ml08_best_model")
+def _(t: Tables) -> DataFrame:
+    """Every labelled vector with its split and what the best of the trained rounds predicts for it."""
+    rows = selection.split_labelled(t.raw("embeddings"), "label", "vec_id").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    trained = selection.Selection(t.spark, lineage.new_folder(t.spark, "training")).fit(rows, label="label_id")
+    return trained.model().transform(rows).select("vec_id", "split", "label", F.col("label_id"), F.col("prediction").cast("long").alias("predicted_id"))

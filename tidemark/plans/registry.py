@@ -24,6 +24,16 @@ def query(name: str, oracle: str | None = None, *views: str) -> Callable:
     return wrap
 
 
+def query_like(name: str, other: str) -> Callable:
+    """Registers another way to the rows of a query that has its SQL already."""
+
+    def wrap(f: Callable[[Tables], DataFrame]) -> Callable:
+        _QUERIES[name], _SQL[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir)), _SQL[other]
+        return f
+
+    return wrap
+
+
 def _load() -> None:
     from . import catalog_queries, catalog_rules, catalog_scalars, catalog_stored  # noqa: F401  they register themselves
 
