@@ -18,10 +18,11 @@ def rows(spark):
 
 
 def figures_in_sql(predicted):
-    table = predicted.toPandas()  # noqa: F841  read by name
-    return duckdb.sql("""WITH n AS (SELECT label_id AS c FROM table UNION SELECT prediction FROM table),
-        f AS (SELECT c, count(*) FILTER (label_id = c AND prediction = c) AS hit, count(*) FILTER (label_id = c) AS t, count(*) FILTER (prediction = c) AS p FROM n, table GROUP BY c)
-        SELECT avg(2.0 * hit / (t + p)), sum(hit) / sum(t) FROM f""".replace("table", '"table"')).fetchone()
+    con = duckdb.connect()
+    con.register("predicted", predicted.toPandas())
+    return con.sql("""WITH n AS (SELECT label_id AS c FROM predicted UNION SELECT prediction FROM predicted),
+        f AS (SELECT c, count(*) FILTER (label_id = c AND prediction = c) AS hit, count(*) FILTER (label_id = c) AS t, count(*) FILTER (prediction = c) AS p FROM n, predicted GROUP BY c)
+        SELECT avg(2.0 * hit / (t + p)), sum(hit) / sum(t) FROM f""").fetchall()[0]
 
 
 def test_split_and_labels(rows):
@@ -53,8 +54,17 @@ def test_patience_and_resuming(spark, rows, tmp_path, monkeypatch):
     fitted = []
     plain = selection.Selection._round
     monkeypatch.setattr(selection.Selection, "_round", lambda self, *a: fitted.append(a[2] is None) or plain(self, *a))
-    selection.Selection(spark, folder, rounds=2, steps=2).fit(rows, label="label_id")
-    (tmp_path / "figures" / "2" / "_SUCCESS").unlink()  # the run broke off while the second round's figures were written
+    judged, averages = [], selection.calibration.averages
+
+    def breaking(report):
+        judged.append(1)
+        if len(judged) == 2:
+            raise RuntimeError("lost")  # the run breaks off after the second round's weights, before its figures
+        return averages(report)
+
+    monkeypatch.setattr(selection.calibration, "averages", breaking)
+    with pytest.raises(RuntimeError):
+        selection.Selection(spark, folder, steps=2).fit(rows, label="label_id")
     done = selection.Selection(spark, folder, rounds=20, patience=2, steps=40).fit(rows, label="label_id")
     said, best = done.history(), done.best()
     assert fitted[:3] == [True, False, False] and len(said) < 20 and said[-1]["round"] == best["round"] + 2  # two rounds without a better one end it
