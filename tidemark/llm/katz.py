@@ -9,9 +9,9 @@ b, (r + 1) N(r + 1) / N(r) / r is (1 + 1/r)^(b + 1), so for b below -1 (enforced
 
 Tokens are hashed to 64 bits. Rows are read once into chunks of about `CHUNK` tokens (documents are never cut), stored in the shared folder. A chunk's distinct words
 and bigrams, with its training counts, go to key buckets; a bucket sums them over all chunks and answers each chunk in the
-order it asked. So a frequent word or bigram costs one key a chunk, not one row a use, and no key is hot. The counts table (T1), and the
-table of history sums (T3), are partitioned by kind and bucket in the shared folder; each bigram's share of its history's sums is added up by the
-one chunk that the bucket names its owner. What moves grows with the distinct bigrams of the chunks.
+order it asked. So a frequent word or bigram costs one key a chunk, not one row a use, and no key is hot. The tables of counts and of history
+sums are written to the shared folder as the exchange by kind and bucket deals them, so that each of their files holds whole buckets; each bigram's share of its
+history's sums is added up by the one chunk that the bucket names its owner. What moves grows with the distinct bigrams of the chunks.
 
 Nulls are empty texts: one end token. Empty tables give no rows. Without training rows all tokens are unknown. Repeated rows are
 scored each; a repeated training row counts each time. Other columns are ignored.
