@@ -10,6 +10,7 @@ from .bridge import Tables, sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_LIKE: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None, *views: str) -> Callable:
@@ -28,7 +29,8 @@ def query_like(name: str, other: str) -> Callable:
     """Registers another way to the rows of a query that has its SQL already."""
 
     def wrap(f: Callable[[Tables], DataFrame]) -> Callable:
-        _QUERIES[name], _SQL[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir)), _SQL[other]
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        _LIKE[name] = other
         return f
 
     return wrap
@@ -50,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return _SQL | {name: _SQL[other] for name, other in _LIKE.items()}
