@@ -45,7 +45,7 @@ def test_nothing_else_imports_the_optional_part():
                 assert not re.search(r"\bllm\b", open(os.path.join(folder, f), encoding="utf-8").read()), f
 
 
-SAMPLE = ["ord01_search_page", "rul16_composite", "agg15_field_pivot", "agg17_completeness", "ext03_typed_fields", "set02_first_wins", "src12_fetch_window", "ups02_bulk_upsert", "ml12_temperature_search", "sc04_clean_text", "agg13_report_categories", "lab03_merge_counts"]
+SAMPLE = ["ord01_search_page", "rul16_composite", "agg15_field_pivot", "agg17_completeness", "ext03_typed_fields", "set02_first_wins", "src12_fetch_window", "ups02_bulk_upsert", "ml12_temperature_search", "sc04_clean_text", "agg13_report_categories", "lab03_merge_counts", "rul16_laid_composite", "flt01_indexed_keywords"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
