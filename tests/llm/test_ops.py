@@ -491,6 +491,17 @@ def test_base_spans_against_regular_expressions(spark):
         assert all(s in [tuple(x) for x in got[i]["spans"]] for s in base)
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    """The query's columns, where the kinds of the spans differ in number and order."""
+    texts = ["1.2.3.4 5.6.7.8 9.9.9.9", "a@b.c +1 (555) 123-4567 d@e.f", "4111 1111 1111 1111, 4111111111111111 2.2.2.2", "+49 30 1234567 x@y.z 300.1.1.1", None, "", "no"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in pii.op9_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = _base(t)
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(b.startswith(f"{k}:") for b in base) for k in BASE], (t, got[i])
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 def test_added_spans_and_redaction(spark):
     texts = ["write joe [at] host [dot] com now", "call (555) 234-9876 today", "order 123-456-7890-12 shipped", "look (at) this. Thing", "host 10[.]0[.]0[.]7 down", None, "", "me a@b.co and a@b.co"]
     df = docs_of(spark, texts, spans="clash").withColumn("n_chars", F.length("text").cast("long"))

@@ -301,5 +301,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.size(F.filter("base_spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(told("base_spans").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
