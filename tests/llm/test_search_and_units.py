@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import json
 import random
 import re
 
@@ -150,6 +151,35 @@ def test_token_counts_of_a_table(spark):
         token_count.count_tokens(df, PATH, overlap=0)
 
 
+def test_distinct_pieces_are_encoded_once(monkeypatch):
+    """Counts by pieces are the library's, on odd texts and while held pieces age; only what is not held is encoded."""
+    tokenizer, asked = Tokenizer.from_file(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    with open(PATH, encoding="utf-8") as f:
+        model = f.read()
+    assert token_count.words_apart(model)
+    changes = [("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}), ("normalizer", {"type": "NFKC"}), ("added_tokens", [json.loads(model)["added_tokens"][0] | {"lstrip": True}])]
+    assert not any(token_count.words_apart(json.dumps(json.loads(model) | {key: value})) for key, value in changes)
+    r = random.Random(8)
+    bits = ["a", "B", "Don't", "'", "s", "é", "\u0301", "\u0338", "=", "<", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "1", "Σ", "İ", "ß", "<|endoftext|>", "<|end", "oftext|>", "\u1100", "\u1161", "가", "🙂", "\u200d", "\x00", "\u0f71\u0f72"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 40))) for _ in range(3000)] + list(hard_texts())
+    want = [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    pieces = token_count.Pieces(Counting(), True)
+    assert pieces.count(texts) == want and len(asked) == len(set(asked))
+    n = len(asked)
+    assert pieces.count(texts) == want and len(asked) == n
+    monkeypatch.setattr(token_count, "_HELD", 200)
+    pieces = token_count.Pieces(Counting(), True)
+    assert [c for i in range(0, len(texts), 50) for c in pieces.count(texts[i : i + 50])] == want
+    assert sum(map(len, pieces.new)) + sum(map(len, pieces.old)) <= 4 * max(len("".join(texts[i : i + 50])) for i in range(0, len(texts), 50))
+    assert token_count.Pieces(tokenizer, False).count(texts) == want
+
+
 def test_token_query_against_whole_texts(spark, tables):
     whole = Tokenizer.from_file(PATH)
     texts = {r["doc_id"]: r["text"] or "" for r in common.read(spark, tables, "documents").select("doc_id", "text").collect()}

@@ -11,6 +11,9 @@ word longer than the overlap), it is doubled and the left slice encoded again, u
 text. One slice is held at a time. This holds for tokenizers that split by a left-to-right pattern without look-behind before they merge, as
 the byte-level and word-end vocabularies do; the tokenizer's file is read by the driver and broadcast (refused above `common.BROADCAST_BYTES`).
 
+Where the tokenizer's file proves that every blank and line end is such a boundary (`words_apart`), a text of at most one chunk is the sum of
+the pieces between them, and a worker has each distinct piece encoded once while it holds it (`Pieces`, of bounded size); else such texts are encoded whole.
+
 Null and empty texts have 0 tokens and bytes. Repeated rows and ids are counted each for itself; nothing is grouped or shuffled. Very long texts
 take time in proportion to their length (one word of any length is encoded whole, as the library does) and memory of a few copies of the text. An
 empty table gives an empty result. Other columns pass through; columns with the result's names are replaced. Names with dots are not
@@ -20,6 +23,7 @@ taken, as in Spark's `mapInArrow`.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import sys
 import unicodedata
@@ -37,6 +41,10 @@ CHUNK, OVERLAP = 16_384, 256
 LIMIT = 2048
 #: Code points encoded by one call.
 _CALL = 1 << 18
+#: Characters of pieces (and 8 for each) after which a worker's held counts age; twice as many are held at most, besides those of one call.
+_HELD = 1 << 23
+#: A splitting pattern that takes no white space into a word and looks at nothing around it.
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @cache
@@ -107,6 +115,47 @@ def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, ri
     yield here[0].ids[skip:]
 
 
+def words_apart(model: str) -> bool:
+    """Whether a tokenizer's file lets the tokens of a text be counted piece by piece between blanks and line ends.
+
+    Special strings hold no white space and take none beside them; normalisation composes nothing with a blank or line end and works character by
+    character; words are split by a pattern that never meets white space and are merged each for itself.
+    """
+    d = json.loads(model)
+    steps = lambda part, name: [] if not part else part[name] if part["type"] == "Sequence" else [part]
+    blanks = lambda n: n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+    plain = all(n["type"] in ("NFC", "Lowercase") or blanks(n) for n in steps(d.get("normalizer"), "normalizers"))
+    special = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in d.get("added_tokens", []))
+    pre = steps(d.get("pre_tokenizer"), "pretokenizers")
+    split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["pattern"] == {"Regex": _APART} and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True)
+    rest = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
+    return plain and special and split and rest and d["model"]["type"] == "BPE" and not d["model"].get("dropout")
+
+
+class Pieces:
+    """Token counts of texts, with those of the pieces met lately: a piece that is not met while as many others come as are held goes."""
+
+    def __init__(self, tokenizer, apart: bool):
+        self.tokenizer, self.apart, self.new, self.old, self.held = tokenizer, apart, {}, {}, 0
+
+    def _encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def count(self, texts: list[str]) -> list[int]:
+        if not self.apart:
+            return self._encoded(texts)
+        if self.held > _HELD:
+            self.old, self.new, self.held = self.new, {}, 0
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        fresh = [p for p in set().union(*split) if p not in self.new]
+        known = {p: self.old[p] for p in fresh if p in self.old}
+        unknown = [p for p in fresh if p not in known]
+        self.new.update(known)
+        self.new.update(zip(unknown, self._encoded(unknown), strict=True))
+        self.held += sum(map(len, fresh)) + 8 * len(fresh)
+        return [sum(map(self.new.__getitem__, pieces)) for pieces in split]
+
+
 @lru_cache(maxsize=2)
 def _loaded(model: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares the cores out
@@ -115,7 +164,7 @@ def _loaded(model: str):
     tokenizer = Tokenizer.from_str(model)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer
+    return tokenizer, Pieces(tokenizer, words_apart(model))
 
 
 def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
@@ -132,14 +181,14 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(model.value)
+        tokenizer, pieces = _loaded(model.value)
         rim = margin(tokenizer)
         for batch, _, _ in kernels.pieces(batches, "text"):
             counts, waiting, held = [0] * batch.num_rows, [], 0
 
             def settle():
-                for (i, _), e in zip(waiting, tokenizer.encode_batch_fast([t for _, t in waiting], add_special_tokens=False), strict=True):
-                    counts[i] = len(e)  # noqa: B023
+                for (i, _), n in zip(waiting, pieces.count([t for _, t in waiting]), strict=True):
+                    counts[i] = n  # noqa: B023
                 waiting.clear()  # noqa: B023
 
             for i, value in enumerate(batch.column(names.index("text"))):
