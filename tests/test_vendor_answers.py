@@ -3,11 +3,15 @@
 import datetime as dt
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import lineage
+from tidemark.plans import catalog_stored
 from tidemark.sources import answers, readers
 
 INCOME = readers.Endpoint("income", "ts_code string, end_date date, report_type string, revenue double", ("ts_code", "report_type"), "end_date")
@@ -66,6 +70,33 @@ def test_parameters_given_beforehand(vendor):
     assert calls() == [{"ts_code": "A", "start_date": "20241101"}]
 
 
+def test_long_answers_are_not_held_in_memory(tmp_path):
+    """A call's answer comes whole or not at all, and neither the reader nor the landed stand-in holds all of it."""
+    tries = []
+
+    def client(endpoint, parameters):
+        tries.append(1)
+        for i in range(20_000):
+            if len(tries) == 1 and i == 15_000:
+                raise OSError("broken off")
+            yield (f"A{i}", dt.date(2024, 1, 1), "x" * 2000, 1.0)
+
+    readings = [readers.PushingReader({}, client, 6e6, INCOME), readers.VendorReader({"endpoint": "income"}, client, 6e6)]
+    for reader in readings:
+        tries.clear()
+        tracemalloc.start()
+        assert [r[0] for r in reader.read(None)] == [f"A{i}" for i in range(20_000)] and len(tries) == 2
+        assert tracemalloc.get_traced_memory()[1] < 25e6
+        tracemalloc.stop()
+    keys = [i % 50_000 - 1 for i in range(200_000)]
+    pq.write_table(pa.table({"o_custkey": keys, "o_orderdate": ["1996-01-02"] * len(keys), "o_orderstatus": ["O", "F"] * (len(keys) // 2), "o_totalprice": [1.5] * len(keys)}), tmp_path / "orders.parquet")
+    client = catalog_stored._landed_client(str(tmp_path))
+    tracemalloc.start()
+    assert [len(list(client("income", {"ts_code": c}))) for c in ("C7", "C-1", "C0", "C07", "Cx", "")] == [4, 4, 4, 0, 0, 0]
+    assert sum(1 for _ in client("income", {"report_type": "O"})) == 100_000 and tracemalloc.get_traced_memory()[1] < 25e6
+    tracemalloc.stop()
+
+
 def test_a_prompt_is_asked_once(spark, tmp_path):
     log = tmp_path / "asked"
 
