@@ -606,6 +606,75 @@ def test_the_suffix_array_decides_on_hosts_of_one_run(monkeypatch):
     assert texts() != [want[i] for i, _, _, m in pages if not m]
 
 
+def article_pages():
+    """Pages of two hosts, all with an article of blocks of kinds p (content) and div (doubtful), after a menu; some are copies under another menu, some without doubtful blocks."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(400)}"
+    boxes = [" ".join(word() for _ in range(r.randint(8, 12))) for _ in range(4)]
+    passages = [" ".join(word() for _ in range(r.randint(8, 14))) for _ in range(6)]
+    pages = []
+    for i in range(60):
+        said = [("p", " ".join(word() for _ in range(r.randint(2, 30)))), ("p", r.choice(passages)), ("p", " ".join(word() for _ in range(20)))]
+        if i % 5:
+            said.insert(r.randint(0, 3), ("div", r.choice(boxes) if r.random() < 0.7 else " ".join(word() for _ in range(9))))
+        pages.append((i, f"http://a{i % 2}.org/{i}", [("nav", f"menu {i % 3} of the site"), *said]))
+    pages += [(100 + i, pages[i][1], [("nav", f"another menu {i}"), *pages[i][2][1:]]) for i in range(1, 20, 3)]
+    pages += [(200 + i, "http://a0.org/x", [("nav", f"menu {i}"), ("p", "short"), ("div", boxes[i % 2]), ("div", f"own {i}")]) for i in range(4)]
+    return pages
+
+
+def article_html(blocks):
+    tag = {"p": "<p>{}</p>", "div": '<div class="newsletter-teaser"><b>{}</b></div>'}
+    return f"<nav>{blocks[0][1]}</nav><article>" + "".join(tag[k].format(t) for k, t in blocks[1:]) + "</article>"
+
+
+def brute_articles(pages, run):
+    """The texts of articles: doubtful blocks go if covered from end to end by windows of other pages, save in copies and where they are not the lesser part."""
+    host = lambda url: url.split("/")[2]
+    streams = {i: [w for _, t in blocks for w in t.split()] for i, _, blocks in pages}
+    windows = {i: {tuple(s[k : k + run]) for k in range(len(s) - run + 1)} for i, s in streams.items()}
+    out = {}
+    for i, url, blocks in pages:
+        others = set().union(*(windows[j] for j, u, _ in pages if host(u) == host(url) and streams[j] != streams[i]))
+        hit = set()
+        for k in range(len(streams[i]) - run + 1):
+            if tuple(streams[i][k : k + run]) in others:
+                hit |= set(range(k, k + run))
+        at, found = 0, []
+        for kind, text in blocks:
+            n = len(text.split())
+            found.append((kind, text, [k in hit for k in range(at, at + n)]))
+            at += n
+        firm = [x for kind, _, m in found if kind == "p" for x in m]
+        lesser = sum(len(m) for kind, _, m in found if kind == "div") < len(firm) and 2 * sum(firm) < len(firm)
+        out[i] = "\n".join(t for kind, t, m in found if kind == "p" or kind == "div" and not (lesser and all(m)))
+    return out
+
+
+@pytest.mark.parametrize("share, tokens", [(250, 400_000), (4, 400_000), (250, 120)])
+def test_articles_against_brute_force(spark, monkeypatch, share, tokens):
+    monkeypatch.setattr(html, "TOKENS", tokens)
+    pages = article_pages()
+    df = spark.createDataFrame([(i, u, article_html(b)) for i, u, b in pages], "page_id long, url string, html string").repartition(3)
+    want = brute_articles(pages, html.RUN)
+    whole = {i: "\n".join(t for k, t in b[1:]) for i, _, b in pages}
+    assert {x["page_id"]: x["text"] for x in html.extract(df, share).collect()} == want
+    boxed = [i for i, _, b in pages if any(k == "div" for k, _ in b)]
+    assert 15 < sum(want[i] != whole[i] for i in boxed) < len(boxed) - 15
+
+
+def test_the_suffix_array_decides_in_articles(monkeypatch):
+    """Whole articles run through it: without it, no doubtful block of them would go."""
+    pages = [p for p in article_pages() if "a1.org" in p[1]]
+    rows = [(i, u, "a1.org", 0, html.judged(article_html(b)), None, True) for i, u, b in pages]
+    texts = lambda: html._finish(rows).column(2).to_pylist()
+    want = brute_articles(pages, html.RUN)
+    assert [" ".join(x[1:] for x in r[4]).split() for r in rows] == [" ".join(t for _, t in b).split() for _, _, b in pages]
+    assert texts() == [want[i] for i, _, _ in pages]
+    monkeypatch.setattr(html, "covered", lambda streams, run=8: [[np.zeros(len(t.split()), bool) for t in s] for s in streams])
+    assert texts() == ["\n".join(t for _, t in b[1:]) for _, _, b in pages] != [want[i] for i, _, _ in pages]
+
+
 def test_sure_furniture_holds_no_main_part():
     for page in ('<div class="sidebar"><article>t</article></div>', "<aside><main>t</main></aside>", '<div class="comments"><article>t</article></div>', '<article class="ad">t</article>', "<form>t</form>", '<div class="with-sidebar">t</div>'):
         assert html.main_part(html.blocks(page)) is None and html.blocks(page) == [("furniture", "t")]

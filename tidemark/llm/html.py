@@ -1,22 +1,24 @@
-"""Main text of web pages: page structure, and a suffix array over each host's token streams.
+"""Main text of web pages: a suffix array over each host's token streams, and page structure as the check of what it finds.
 
 A page is cut into blocks (tag by tag, by HTML's tokenizer states in one pass; scripts, styles and comments never become text). A block lies in the main part (inside
 <article>, else <main> or role=main), in furniture (menus, headers, footers, sidebars, forms, adverts, notices, reader comments, by
-element, role, class or id; inside a main part a class or id with any word of its own is content), or in the rest. Furniture told only by a form
-element, or by a class or id that has words of its own (`layout with-sidebar`, `menu-open`), is loose: a main part in it, or marked so itself, is one
-all the same, and is the page's if it holds more text than the main parts outside of furniture. Of a page with a main part, its main blocks
-are the text. Of any other (an open page), the token streams of a host's pages are concatenated, sorted as a suffix array to a depth of `RUN` tokens by prefix doubling,
-and every token in a substring of `RUN` tokens or more that two distinct pages share is covered; the rest's blocks without their covered runs are the text: unique runs stay.
+element, role, class or id), or in the rest. Furniture told only by a form element, or by a class or id that has words of its own (`layout with-sidebar`,
+`menu-open`), is loose: a main part in it, or marked so itself, is one all the same, and is the page's if it holds more text than the main parts outside of furniture.
+Inside a main part a class or id without any word of its own marks furniture (`share-buttons`); one with its own words (`share-price`, `newsletter-teaser`) makes the block doubtful.
 
-Repetition never removes text inside a main part: passages that articles share are content, and whole results
-come first. So the suffix array decides only where the page's structure leaves it open.
+The token streams of all of a host's pages, main parts too, are concatenated and sorted as a suffix array to a depth of `RUN` tokens by prefix doubling;
+every token in a substring of `RUN` tokens or more that two distinct pages share is covered. Every page's text is made from what is covered:
+of a page without a main part (an open page), the rest's blocks without their covered runs are the text: unique runs stay. Of a page with a main part, its main blocks are the
+text, and covered runs are checked by structure: passages, lines and whole articles that pages share are content, and stay. A doubtful block goes if it is covered from end to end,
+unless the article itself is a copy (half of its undoubted tokens are covered) or the doubtful blocks are not its lesser part.
 
-A host of at most `share` open pages and some `TOKENS` tokens (with the furniture of its other pages, which is searched too) is one run: its suffix array decides alone.
+A host of at most `share` pages and some `TOKENS` tokens is one run: its suffix array decides alone.
 A larger host is split into hashed shares, and a share is worked off in runs of at most `TOKENS` tokens, so no host meets in one
 task and memory is bounded; a page longer than that is a run of its own. For such hosts only, what pages of different shares or runs share is found by an
-exchange: hashes of all windows of `RUN` tokens outside main parts, with the least and greatest distinct page of each host and window, go back to the
-open pages as marks. A substring of `RUN` tokens or more that distinct pages share is a chain of such windows, so both ways cover the same tokens, and a page's text does
-not depend on how its host is dealt. Pages are parsed once, into a table in the shared folder; those with a main part are shuffled only where their host has open pages.
+exchange for the pages whose text depends on it (asked pages: open ones, and those with doubtful blocks): hashes of all their windows of `RUN` tokens, and the same windows of the host's
+other pages (a filter of fixed size picks them at the scan), with the least and greatest distinct page of each, go back to the asked
+pages as marks. A substring of `RUN` tokens or more that distinct pages share is a chain of such windows, so both ways cover the same tokens, and a page's text does
+not depend on how its host is dealt. Pages are parsed where they are read and shuffled once, compressed; those of larger hosts are parsed once more to find the asked ones.
 
 Null or empty html gives the empty text. A null url has the empty host. Repeated rows of a page are one distinct page and give equal rows. Other columns are
 ignored. An empty table gives an empty result.
@@ -34,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kernels, url_filter
+from . import common, kernels, minhash, url_filter
 
 RESULT = "page_id long, url string, text string, n_chars long"
+DEALT = "page_id long, url string, host string, share int, body binary, stream long"
 RUN = 8
 TOKENS = 400_000
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -86,6 +89,11 @@ def _marked(value: str, inside: bool) -> int:
     return 0 if inside else SURE if found and every else found
 
 
+def _doubtful(more: list[tuple[str, str]]) -> bool:
+    """Whether a class or id inside a main part has a word of furniture among words of its own."""
+    return any(not MARKS.isdisjoint(w.lower() for w in _SPLIT.split(value)) for key, value in more if key in ("class", "id"))
+
+
 def _furniture(name: str, more: list[tuple[str, str]], inside: bool) -> tuple[int, bool]:
     """How surely an element is furniture, and whether it begins a main part."""
     if name in FURNITURE and name != "form" or name == "header" and not inside:
@@ -162,17 +170,22 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, list[tuple[str, str
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of all blocks in page order; zone: article, main, rest or furniture; loose article or loose main within loose furniture."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, int, str]] = []  # name, how surely in furniture, main part
+    return [(zone, text) for zone, text, _ in parts(page)]
+
+
+def parts(page: str) -> list[tuple[str, str, bool]]:
+    """The blocks, and whether each is doubtful: in an element of a main part whose class or id names furniture among words of its own."""
+    out: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, int, str, bool]] = []  # name, how surely in furniture, main part, doubtful
     open_at: dict[str, list[int]] = {}  # places in the stack of each open name, and of all open blocks under ""
     said: list[str] = []
-    zone = "rest"
+    zone, doubt = "rest", False
 
     def flush() -> None:
         if said:
             text = " ".join(entities.unescape("".join(said)).split())
             if text:
-                out.append((zone, text))
+                out.append((zone, text, doubt))
             said.clear()
 
     def close(k: int) -> None:
@@ -204,29 +217,31 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif name not in VOID:
             if name in _ENDS_P and (k := last("")) >= 0 and (stack[k][0] == "p" or stack[k][0] == name == "li"):
                 close(k)
-            hidden, part = (stack[-1][1], stack[-1][2]) if stack else (0, "")
+            hidden, part, doubted = stack[-1][1:] if stack else (0, "", False)
             if hidden < SURE:
                 loosely = hidden or part.startswith("loose")
                 own, begins = _furniture(name, more, bool(part) and not hidden)
                 if begins and (hidden or own or not part.endswith("article")):
                     part = ("loose " if loosely or own else "") + ("article" if name == "article" else "main")
-                    hidden = 0
+                    hidden, doubted = 0, False
                 else:
                     hidden = max(hidden, own)
+                    doubted |= bool(part) and _doubtful(more)
             open_at.setdefault(name, []).append(len(stack))
             if name in BLOCK:
                 open_at.setdefault("", []).append(len(stack))
-            stack.append((name, hidden, part))
+            stack.append((name, hidden, part, doubted))
             if name == "svg" and page.endswith("/>", begin, end):
                 close(len(stack) - 1)
         zone = "furniture" if stack and stack[-1][1] else (stack[-1][2] if stack else "") or "rest"
+        doubt = bool(stack) and stack[-1][3]
     said.append(page[at:])
     flush()
     return out
 
 
 def _packed(text: str) -> bytes:
-    """Compressed, after its size: main texts are exchanged, so they should be small."""
+    """Compressed, after its size: pages are exchanged, so they should be small."""
     raw = text.encode()
     return len(raw).to_bytes(8, "little") + pa.compress(raw or b" ", codec="zstd", asbytes=True)
 
@@ -236,11 +251,24 @@ def _unpacked(packed: bytes) -> str:
     return pa.decompress(packed[8:], decompressed_size=max(size, 1), codec="zstd", asbytes=True)[:size].decode()
 
 
-def _hashes(rests: list[list[str]]) -> list[np.ndarray]:
-    """The hashes of each page's tokens outside its main part."""
-    data, off = kernels.buffers(pa.array([b[1:] for r in rests for b in r], pa.large_string()))
+#: A block's first character says what is done with it: in an open page without its covered runs (OPEN), never text (NONE), main text (MAIN), doubtful main text (DOUBT).
+OPEN, NONE, MAIN, DOUBT = "0123"
+
+
+def judged(page: str) -> list[str]:
+    """A page's blocks in page order, each after its character."""
+    found = parts(page)
+    part = main_part([f[:2] for f in found])
+    if part is None:
+        return [(OPEN if zone == "rest" else NONE) + text for zone, text, _ in found]
+    return [(NONE if zone != part else DOUBT if doubt else MAIN) + text for zone, text, doubt in found]
+
+
+def _hashes(pages: list[list[str]]) -> list[np.ndarray]:
+    """The hashes of each page's tokens."""
+    data, off = kernels.buffers(pa.array([b[1:] for p in pages for b in p], pa.large_string()))
     start, end, first = kernels.words(data, off, kernels.SPACED)
-    at = first[np.cumsum([0, *map(len, rests)])]
+    at = first[np.cumsum([0, *map(len, pages)])]
     h = kernels.word_hashes(data, start, end)
     return [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -249,36 +277,41 @@ def _stream_id(h: np.ndarray, host: str | None) -> int:
     return int.from_bytes(hashlib.blake2b((host or "").encode() + b"\0" + h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parsed pages to (stream, open, keys): the hashes of a page's windows with its host; open pages have no main part."""
+def _pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]], list[np.ndarray], list[int]]]:
+    """Rows that begin with (host, html), few at a time, with their pages' blocks, token hashes and stream ids."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            b = batch.slice(i, 256)
-            keys = []
-            for h, host in zip(_hashes(b.column(2).to_pylist()), b.column(0).to_pylist(), strict=True):
-                n = max(0, len(h) - RUN + 1)
-                x = np.full(n, _stream_id(h[:0], host), np.int64).view(np.uint64)
-                for k in range(RUN):
-                    x = kernels.mix(x * np.uint64(31) + h[k : k + n], k)
-                keys.append(x.view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), lists], names=["stream", "open", "keys"])
+        for k in range(0, batch.num_rows, 256):
+            b = batch.slice(k, 256)
+            pages = [judged(page or "") for page in b.column(1).to_pylist()]
+            hashes = _hashes(pages)
+            yield b, pages, hashes, [_stream_id(h, host) for h, host in zip(hashes, b.column(0).to_pylist(), strict=True)]
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("page_id", "url", "host", "main", "rest", "stream", "chars")
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            b = batch.slice(k, 256)
-            mains, rests = [], []
-            for page in b.column(3).to_pylist():
-                found = blocks(page or "")
-                part = main_part(found)
-                mains.append(_packed("\n".join(t for z, t in found if z == part)) if part else None)
-                rests.append([("0" if z in ("rest", "article", "main") else "1") + t for z, t in found if z != part])
-            ids = [_stream_id(h, host) for h, host in zip(_hashes(rests), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(mains, pa.binary()), pa.array(rests, pa.list_(pa.string())), pa.array(ids, pa.int64()), pa.array([sum(map(len, r)) for r in rests], pa.int64())], names=names)
+    """(host, html, page_id, url, share) to DEALT: whole pages, whatever their structure."""
+    for b, pages, _, ids in _pages(batches):
+        bodies = pa.array([_packed("\n".join(p)) for p in pages], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(0), b.column(4), bodies, pa.array(ids, pa.int64())], names=["page_id", "url", "host", "share", "body", "stream"])
+
+
+def _keys(h: np.ndarray, host: str | None) -> np.ndarray:
+    """The hashes of a page's windows with its host."""
+    n = max(0, len(h) - RUN + 1)
+    x = np.full(n, _stream_id(h[:0], host), np.int64).view(np.uint64)
+    for k in range(RUN):
+        x = kernels.mix(x * np.uint64(31) + h[k : k + n], k)
+    return x.view(np.int64)
+
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to (stream, keys): the windows of the pages whose text depends on what other pages hold."""
+    for b, pages, hashes, ids in _pages(batches):
+        hosts = b.column(0).to_pylist()
+        asked = [i for i, p in enumerate(pages) if any(x[0] in OPEN + DOUBT for x in p)]
+        keys = [_keys(hashes[i], hosts[i]) for i in asked]
+        ends = np.cumsum([0, *map(len, keys)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in asked], pa.int64()), lists], names=["stream", "keys"])
 
 
 def covered(streams: list[list[str]], run: int = RUN) -> list[list[np.ndarray]]:
@@ -335,36 +368,33 @@ def _with_marks(marked: list[np.ndarray], starts: list[int] | None) -> list[np.n
     return [m | w for m, w in zip(marked, np.split(inside, np.cumsum([len(m) for m in marked])[:-1]), strict=True)]
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with a main part: its text."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            b = batch.slice(i, 256)
-            yield _result(b.column(0).to_pylist(), b.column(1).to_pylist(), [_unpacked(m) for m in b.column(2).to_pylist()])
-
-
 def _result(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=("page_id", "url", "text", "n_chars")
     )
 
 
+def _text(blocks: list[str], marked: list[np.ndarray]) -> str:
+    """A page's text by what is covered of each block, and by structure where a covered run may be content."""
+    sums = {c: (sum(len(m) for b, m in zip(blocks, marked, strict=True) if b[0] == c), sum(int(m.sum()) for b, m in zip(blocks, marked, strict=True) if b[0] == c)) for c in (MAIN, DOUBT)}
+    (firm, copied), (doubtful, _) = sums[MAIN], sums[DOUBT]
+    lesser = doubtful < firm and 2 * copied < firm
+    kept = []
+    for block, m in zip(blocks, marked, strict=True):
+        text = block[1:]
+        if block[0] == OPEN:
+            text = " ".join(w for w, c in zip(text.split(" "), m, strict=True) if not c) if len(m) == text.count(" ") + 1 else text
+        elif block[0] == NONE or block[0] == DOUBT and lesser and len(m) and m.all():
+            text = ""
+        if text:
+            kept.append(text)
+    return "\n".join(kept)
+
+
 def _finish(rows: list[tuple]) -> pa.RecordBatch:
-    """The texts of the open pages among the rows of one host; the furniture of its other pages is searched with them."""
-    streams = [[b[1:] for b in r[4]] for r in rows]
-    marks = [_with_marks(m, r[5]) for m, r in zip(covered(streams), rows, strict=True)]
-    texts = []
-    for r, stream, marked in zip(rows, streams, marks, strict=True):
-        if not r[6]:
-            continue
-        kept = []
-        for block, text, m in zip(r[4], stream, marked, strict=True):
-            if block[0] == "1":
-                continue
-            said = " ".join(w for w, c in zip(text.split(" "), m, strict=True) if not c) if len(m) == text.count(" ") + 1 else text
-            if said:
-                kept.append(said)
-        texts.append("\n".join(kept))
+    """The texts of those of one host's rows that are asked for (their last column); all are searched."""
+    marks = [_with_marks(m, r[5]) for m, r in zip(covered([[b[1:] for b in r[4]] for r in rows]), rows, strict=True)]
+    texts = [_text(r[4], m) for r, m in zip(rows, marks, strict=True) if r[6]]
     return _result([r[0] for r in rows if r[6]], [r[1] for r in rows if r[6]], texts)
 
 
@@ -374,54 +404,64 @@ def _hosts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for k in range(0, batch.num_rows, 128):
-            for row in zip(*[c.to_pylist() for c in batch.slice(k, 128).columns], strict=True):
-                n = sum(len(b) for b in row[4]) // 6
-                if rows and (rows[-1][2:4] != row[2:4] or size + n > TOKENS):
+            for *row, body, marks in zip(*[c.to_pylist() for c in batch.slice(k, 128).columns], strict=True):
+                blocks = [b for b in _unpacked(body).split("\n") if b]
+                n = sum(len(b) - 1 for b in blocks) // 6
+                if rows and (list(rows[-1][2:4]) != row[2:4] or size + n > TOKENS):
                     yield _finish(rows)
                     rows, size = [], 0
-                rows.append(row)
+                rows.append((*row, blocks, marks, True))
                 size += n
     if rows:
         yield _finish(rows)
 
 
-def host_marks(scratch: common.Scratch, parsed: DataFrame) -> DataFrame:
-    """(stream, marks): where windows that distinct pages of the host share start, of each stream of pages without a main part."""
-    streams = parsed.select("host", F.col("main").isNull().alias("open"), "rest", "stream")
-    windows = scratch.table(streams.mapInArrow(_windows, "stream long, open boolean, keys array<long>"), compression="zstd")
-    every = windows.select("stream", "open", F.explode("keys").alias("key")).groupBy("key").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi"), F.bool_or("open").alias("open"))
-    shared = scratch.table(every.where("open and lo < hi").select("key"))
-    open_pages = windows.where("open").dropDuplicates(["stream"]).select("stream", F.posexplode("keys").alias("at", "key"))
-    marks = scratch.table(open_pages.join(shared, "key").groupBy("stream").agg(F.collect_list("at").alias("marks")), compression="zstd")
-    scratch.drop(windows)
-    common.free(parsed.sparkSession)
+def host_marks(scratch: common.Scratch, large: DataFrame) -> DataFrame | None:
+    """(stream, marks): where windows that distinct pages of the host share start, of each stream of asked pages; none if no page is asked."""
+    large = large.select("host", "html")
+    asked = scratch.table(large.mapInArrow(_asked, "stream long, keys array<long>"), compression="zstd")
+    if asked.isEmpty():
+        return None
+    sent = large.sparkSession.sparkContext.broadcast(minhash.id_filter(asked.select(F.explode("keys").alias("key"))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, hashes, ids in _pages(batches):
+            keys = [_keys(h, host) for h, host in zip(hashes, b.column(0).to_pylist(), strict=True)]
+            every = np.concatenate([np.zeros(0, np.int64), *keys])
+            yield minhash.held(pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(np.asarray(ids, np.int64), list(map(len, keys))))], names=["key", "stream"]), *sent.value)
+
+    every = large.mapInArrow(run, "key long, stream long").groupBy("key").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi"))
+    shared = scratch.table(every.where("lo < hi").select("key"))
+    own = asked.dropDuplicates(["stream"]).select("stream", F.posexplode("keys").alias("at", "key"))
+    marks = scratch.table(own.join(shared, "key").groupBy("stream").agg(F.collect_list("at").alias("marks")), compression="zstd")
+    scratch.drop(asked)
+    common.free(large.sparkSession)
     return marks
 
 
 def extract(pages: DataFrame, share: int = 250) -> DataFrame:
     """page_id, url, text and n_chars of every (page_id, url, html) row."""
     scratch = common.Scratch(pages.sparkSession, "html")
-    named = pages.select(F.col("page_id").cast("long"), "url", url_filter.host_of(F.col("url")).alias("host"), "html")
-    parsed = scratch.table(named.mapInArrow(_parse, "page_id long, url string, host string, main binary, rest array<string>, stream long, chars long"))
-    done = parsed.where("main is not null").select("page_id", "url", "main").mapInArrow(_texts, RESULT)
-    open_page = F.col("main").isNull()
-    hosts = parsed.groupBy("host").agg(F.count_if(open_page).alias("n"), F.sum("chars").alias("chars")).where("n > 0")
-    hosts = scratch.table(hosts.select("host", "n", ((F.col("n") <= share) & (F.col("chars") <= TOKENS * 6)).alias("whole")))
-    total, split_hosts = hosts.agg(F.sum("n"), F.count_if(~F.col("whole"))).first()
-    if not total:
-        return done
-    columns = ["page_id", "url", "host", "share", "rest", "marks", "open"]
-    whole = parsed.join(hosts.where("whole").select("host"), "host", "left_semi")
-    dealt = whole.select("page_id", "url", "host", F.lit(0).alias("share"), "rest", F.lit(None).cast("array<int>").alias("marks"), open_page.alias("open"))
-    if split_hosts:
-        large = parsed.join(hosts.where("not whole").select("host"), "host", "left_semi")
-        least = max(share, -(-total // 1000))  # so at most 1000 hosts are larger, whatever the input
-        shares = hosts.where(~F.col("whole") & (F.col("n") > least)).select("host", F.ceil(F.col("n") / least).cast("int").alias("_shares"))
-        left = large.where(open_page).join(F.broadcast(shares), "host", "left")
-        left = left.withColumn("share", F.pmod(F.xxhash64("page_id", "stream"), F.coalesce("_shares", F.lit(1))).cast("int"))
-        dealt = dealt.unionByName(left.join(host_marks(scratch, large), "stream", "left").withColumn("open", F.lit(True)).select(*columns))
-    dealt = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "page_id")
-    return done.unionByName(dealt.mapInArrow(_hosts, RESULT))
+    named = pages.select(url_filter.host_of(F.col("url")).alias("host"), "html", F.col("page_id").cast("long"), "url")
+    hosts = scratch.table(named.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("html")), F.lit(0)).alias("chars")))
+    whole = (F.col("n") <= share) & (F.col("chars") <= TOKENS * 6)
+    total, chars, larger = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0)), F.count_if(~whole)).first()
+    if larger:
+        # so at most 1000 hosts are split for their pages and 1000 for their text, whatever the input
+        least, most = max(share, -(-total // 1000)), max(TOKENS * 6, -(-chars // 1000))
+        shares = hosts.where(~whole).select("host", F.ceil(F.greatest(F.col("n") / least, F.col("chars") / most)).cast("int").alias("_shares"))
+        named = named.join(shares, "host", "left")
+        dealt = named.withColumn("share", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("_shares", F.lit(1))).cast("int"))
+        marks = host_marks(scratch, named.where(F.col("_shares").isNotNull()))
+    else:
+        dealt, marks = named.withColumn("share", F.lit(0)), None
+    parsed = dealt.select("host", "html", "page_id", "url", "share").mapInArrow(_parse, DEALT)
+    if marks is None:
+        parsed = parsed.withColumn("marks", F.lit(None).cast("array<int>"))
+    else:
+        parsed = parsed.join(marks, "stream", "left")
+    parsed = parsed.select("page_id", "url", "host", "share", "body", "marks").repartition("host", "share").sortWithinPartitions("host", "share", "page_id")
+    return parsed.mapInArrow(_hosts, RESULT)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,7 +197,7 @@ def components(scratch: common.Scratch, edges: DataFrame, known: DataFrame | Non
             return labels
 
 
-def _held(batch: pa.RecordBatch, bits: int, held: np.ndarray) -> pa.RecordBatch:
+def held(batch: pa.RecordBatch, bits: int, held: np.ndarray) -> pa.RecordBatch:
     at = _places(np.asarray(batch.column(0), np.int64), bits)
     return batch.filter(pa.array(np.all(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1, axis=0)))
 
@@ -207,7 +207,7 @@ def left_sets(full: DataFrame, sent) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _held(batch, *sent.value)
+            part = held(batch, *sent.value)
             size = np.asarray([len(v) // 8 for v in part.column(1).to_pylist()], np.int64)
             flat = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i8")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
